@@ -62,8 +62,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm import suffix_dedup
+
+    out = suffix_dedup.remove_repeats(documents(spark, sf_dir), window=50)
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        length.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op6_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_suffix_dedup, op6_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
