@@ -76,8 +76,32 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crc(column: str = "doc_id"):
+    """crc32 of an id as decimal text; 0 for a null id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm import quality_classifier
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = quality_classifier.fit(docs, labels, crc() % 5 != 0)
+    out = quality_classifier.score(docs, model)
+    return out.select("doc_id", (crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm import language_id
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    fitted = language_id.fit(docs, crc() % 3 != 1)
+    out = language_id.identify(docs.select("doc_id", "text"), fitted)
+    return out.select("doc_id", (crc() % 3 == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_suffix_dedup, op6_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_suffix_dedup, op6_quality_rules, op8_quality_classifier, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
