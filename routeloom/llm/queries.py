@@ -91,6 +91,14 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm import packing
+
+    pieces = packing.cut_pieces(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    out = packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from routeloom.llm import language_id
 
@@ -101,7 +109,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_suffix_dedup, op6_quality_rules, op8_quality_classifier, op10_language_id)}
+    return {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_suffix_dedup, op6_quality_rules, op8_quality_classifier, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
