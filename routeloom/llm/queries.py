@@ -81,6 +81,16 @@ def crc(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm import language_model
+
+    out, total = language_model.score_texts(documents(spark, sf_dir), divisor=10, held_out=0)
+    return out.select(
+        "doc_id", (crc() % 10 == 0).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from routeloom.llm import quality_classifier
 
@@ -109,7 +119,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_suffix_dedup, op6_quality_rules, op8_quality_classifier, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_suffix_dedup, op6_quality_rules, op7_lm_scoring, op8_quality_classifier, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
