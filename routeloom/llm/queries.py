@@ -52,6 +52,13 @@ FROM t
 """
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm import near_dedup
+
+    out = near_dedup.near_groups(documents(spark, sf_dir), shingle=2, threshold=0.8)
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from routeloom.llm import quality_rules
 
@@ -119,7 +126,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_suffix_dedup, op6_quality_rules, op7_lm_scoring, op8_quality_classifier, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_suffix_dedup, op5_near_dedup, op6_quality_rules, op7_lm_scoring, op8_quality_classifier, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
