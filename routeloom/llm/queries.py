@@ -31,6 +31,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from routeloom.llm import chat_format
+
+    out = chat_format.repair_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return out.select(
+        "conv_id", "turn", "role", "repaired_role", "action", F.size("inserted").cast("long").alias("n_inserted"), "cost",
+        F.sha2("fragment", 256).alias("fragment_sha256"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from routeloom.llm import exact_dedup
 
@@ -126,7 +136,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op4_suffix_dedup, op5_near_dedup, op6_quality_rules, op7_lm_scoring, op8_quality_classifier, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_bpe, op2_chat_format, op3_exact_dedup, op4_suffix_dedup, op5_near_dedup, op6_quality_rules, op7_lm_scoring, op8_quality_classifier, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
