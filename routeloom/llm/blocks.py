@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from routeloom.llm import kernels as K
 from routeloom.llm import store
 
-BLOCK_BYTES = 4 << 20
-BLOCK_SCHEMA = "block long, n_docs int, n_bytes long, ids binary, null_ids binary, offs binary, data binary"
+BLOCK_BYTES = 2 << 20
+BLOCK_SCHEMA = "block long, n_docs int, n_bytes long, ids binary, null_ids binary, tags binary, offs binary, data binary"
 
 
 def pack(raw: bytes | np.ndarray) -> bytes:
@@ -46,13 +46,14 @@ class Block:
         self.number = row["block"]
         self.ids = unpack(row["ids"], np.int64)
         self.null_ids = unpack(row["null_ids"], np.bool_)
+        self.tags = unpack(row["tags"], np.int64)
         self.offs = unpack(row["offs"], np.int64)
         self.data = unpack(row["data"])
 
     def doc_ids(self) -> pa.Array:
         return pa.array(self.ids, pa.int64(), mask=self.null_ids)
 
-    def chunks(self, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def chunks(self, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first, last, bytes, offsets) of runs of the block's texts of about ``limit`` bytes."""
         lo, n = 0, len(self.ids)
         while lo < n:
@@ -69,24 +70,25 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         nonlocal number, held, size
         ids = pa.chunked_array([h[0] for h in held])
+        tags = pa.chunked_array([h[3] for h in held]).to_numpy()
         offs, at = [np.zeros(1, np.int64)], 0
-        for _, _, o in held:
+        for _, _, o, _ in held:
             offs.append(o[1:] + at)
             at += o[-1]
         data = b"".join([h[1].tobytes() for h in held])
         row = [
             number, len(ids), at, pack(ids.fill_null(0).to_numpy().astype(np.int64)),
-            pack(ids.is_null().to_numpy().astype(np.bool_)), pack(np.concatenate(offs)), pack(data),
+            pack(ids.is_null().to_numpy().astype(np.bool_)), pack(tags), pack(np.concatenate(offs)), pack(data),
         ]
         number, held, size = number + 1, [], 0
-        kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], BLOCK_NAMES)
 
     for batch in batches:
         for lo, hi, data, offs in K.slabs(batch.column(1), 1 << 18):
             if held and size + offs[-1] > BLOCK_BYTES:
                 yield flush()
-            held.append((batch.column(0).slice(lo, hi - lo), data, offs))
+            held.append((batch.column(0).slice(lo, hi - lo), data, offs, batch.column(2).slice(lo, hi - lo)))
             size += offs[-1]
     if held:
         yield flush()
@@ -95,11 +97,15 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BLOCK_NAMES = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
 
 
-def make_blocks(docs: DataFrame, tag: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the texts of ``docs`` as a table of blocks bucketed by block number; null texts are empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def make_blocks(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None) -> DataFrame:
+    """Write the texts of ``docs`` as a table of blocks bucketed by block number; null texts are empty.
+
+    ``tag_col`` (a long that is never null) goes with the rows.
+    """
+    tag = F.col(tag_col) if tag_col else F.lit(0)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tag.cast("long").alias("tag"))
     n = store.shuffle_partitions(docs.sparkSession)
-    return store.materialize_bucketed(rows.mapInArrow(_to_blocks, BLOCK_SCHEMA), tag, n, "block")
+    return store.materialize_bucketed(rows.mapInArrow(_to_blocks, BLOCK_SCHEMA), name, n, "block")
 
 
 def ranges(blocks: DataFrame, bytes_each: int = 16 << 20) -> int:

@@ -73,7 +73,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray
     ends = valid[:-1].copy()
     ends[:-1] &= (place[1:] != place[:-1]) | ~valid[1:-1]
     last = np.flatnonzero(ends)
-    return first, last, h[place[first]]
+    return first, last, K.mix(h[place[first]])  # anchors have small hashes; as keys they are spread evenly again
 
 
 def strips(block: B.Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -175,8 +175,7 @@ def _classes(block: B.Block, first, last, h, window: int):
 
 
 def _send_strips(n: int, window: int):
-    """Rows for the ranges (kind 0: classes) and for the block itself (kind 1: members of its classes)."""
-    names = ["kind", "part", "block", "n", "size", "low", "high", "body"]
+    names = ["part", "block", "n", "size", "low", "more", "body"]
 
     def apply(block: B.Block, answers: list[dict]) -> Iterator[pa.RecordBatch]:
         found = _chosen(block, answers, n, window)
@@ -187,19 +186,18 @@ def _send_strips(n: int, window: int):
         ids = _ids(block)[doc[order]]
         low, high = np.minimum.reduceat(ids, start), np.maximum.reduceat(ids, start)
         lead = order[start]
+        rows, size = rows[lead], size[lead]
         at, a, b = B.cut(h[lead], n)
-        width = rows.shape[1]
+        width = np.arange(rows.shape[1])
         out = []
         for p, x, y in zip(at.tolist(), a.tolist(), b.tolist(), strict=True):
-            own = rows[lead[x:y]]
-            body = own[np.arange(width) < size[lead[x:y], None]]
-            out.append((0, p, block.number, y - x, size[lead[x:y]].astype(np.uint8).tobytes(), low[x:y].tobytes(), high[x:y].tobytes(), B.pack(body)))
-        members = np.diff(np.append(start, len(order))).astype(np.int32)
-        out.append((1, -1, block.number, len(start), B.pack(members), B.pack(first[order].astype(np.int64)), B.pack(a.astype(np.int64)), B.pack(at.astype(np.int64))))
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+            body = rows[x:y][width < size[x:y, None]]
+            more = high[x:y] - low[x:y]
+            out.append((p, block.number, y - x, B.pack(size[x:y].astype(np.uint8)), B.pack(low[x:y]), B.pack(more), B.pack(body)))
+        kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return apply, "kind int, part int, block long, n int, size binary, low binary, high binary, body binary"
+    return apply, "part int, block long, n int, size binary, low binary, more binary, body binary"
 
 
 def equal_windows(n: int, n_digits: int, digit: Callable[[np.ndarray, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -228,9 +226,9 @@ def _sort_range(window: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        size = np.concatenate([np.frombuffer(r["size"], np.uint8) for r in rows]).astype(np.int64)
-        low = np.concatenate([np.frombuffer(r["low"], np.int64) for r in rows])
-        high = np.concatenate([np.frombuffer(r["high"], np.int64) for r in rows])
+        size = np.concatenate([B.unpack(r["size"]) for r in rows]).astype(np.int64)
+        low = np.concatenate([B.unpack(r["low"], np.int64) for r in rows])
+        high = low + np.concatenate([B.unpack(r["more"], np.int64) for r in rows])
         body = np.concatenate([B.unpack(r["body"]) for r in rows])
         start = np.cumsum(size) - size
         # equal strips of different blocks are one: only their smallest document counts
@@ -284,36 +282,41 @@ def _sort_range(window: int):
             keep = source < high[at : at + count][local]
             which, local = which[keep], local[keep]
             if len(which):
-                out.append((r["block"], r["part"], B.pack(local.astype(np.int32)), B.pack(offset[run_at[which]].astype(np.uint8)), B.pack(run_n[which].astype(np.uint8)), B.pack(found[run_at[which]])))
+                at_run = run_at[which]
+                cuts = (local.astype(np.int32), offset[at_run].astype(np.uint8), run_n[which].astype(np.uint8), found[at_run])
+                out.append((r["block"], r["part"], *map(B.pack, cuts)))
             at += count
         kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
         columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "part", "size", "low", "high", "body"])
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "part", *_CUT])
 
     return run
 
 
-def _cut_block(window: int):
+#: Of each run of windows to cut: class in the block's range, first window in the strip, windows, smallest document.
+_CUT = ("cls", "skip", "count", "source")
+
+
+def _cut_block(n: int, window: int):
     def apply(block: B.Block, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         delta = np.zeros(len(block.data) + 1, np.int32)
-        own = next((r for r in rows if r["kind"] == 1), None)
         ids = _ids(block)
-        if own is not None:
-            members, first = B.unpack(own["size"], np.int32).astype(np.int64), B.unpack(own["low"], np.int64)
-            class_at = dict(zip(B.unpack(own["body"], np.int64).tolist(), B.unpack(own["high"], np.int64).tolist(), strict=True))
-            begin = np.cumsum(members) - members
-            doc = ids[np.searchsorted(block.offs, first, "right") - 1] if len(first) else first
-            for r in rows:
-                if r["kind"] != 0:
-                    continue
-                cls = B.unpack(r["size"], np.int32).astype(np.int64) + class_at[r["part"]]
-                skip, count, source = B.unpack(r["low"]), B.unpack(r["high"]), B.unpack(r["body"], np.int64)
-                n = members[cls]
-                ends = np.cumsum(n)
-                which = np.repeat(begin[cls] - (ends - n), n) + np.arange(ends[-1])
-                loses = doc[which] > np.repeat(source, n)
-                a = first[which] + np.repeat(skip, n)
-                b = a + np.repeat(count.astype(np.int64), n) + window - 1
+        cuts = [r for r in rows if r["cls"] is not None]
+        if cuts:
+            first, last, h, doc = _chosen(block, [r for r in rows if r["bits"] is not None], n, window)
+            order, begin, _, _ = _classes(block, first, last, h, window)
+            members = np.diff(np.append(begin, len(order)))
+            class_at = {p: a for p, a, _ in zip(*(x.tolist() for x in B.cut(h[order[begin]], n)), strict=True)}
+            first, doc = first[order], ids[doc[order]]
+            for r in cuts:
+                cls = B.unpack(r["cls"], np.int32).astype(np.int64) + class_at[r["part"]]
+                skip, count, source = B.unpack(r["skip"]), B.unpack(r["count"]), B.unpack(r["source"], np.int64)
+                m = members[cls]
+                ends = np.cumsum(m)
+                which = np.repeat(begin[cls] - (ends - m), m) + np.arange(ends[-1])
+                loses = doc[which] > np.repeat(source, m)
+                a = first[which] + np.repeat(skip, m)
+                b = a + np.repeat(count.astype(np.int64), m) + window - 1
                 np.add.at(delta, a[loses], 1)
                 np.add.at(delta, b[loses], -1)
         gone = np.cumsum(delta[:-1]) > 0
@@ -337,26 +340,26 @@ def _cut_block(window: int):
             pa.StructArray.from_arrays([pa.array(starts - base), pa.array(stops - base)], ["start", "stop"]),
         )
         texts = pa.Array.from_buffers(pa.binary(), len(block.ids), [None, pa.py_buffer(kept_offs.tobytes()), pa.py_buffer(kept.tobytes())])
-        yield pa.RecordBatch.from_arrays([block.doc_ids(), pa.array(np.diff(block.offs)), spans, texts], ["doc_id", "n_bytes", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays(
+            [block.doc_ids(), pa.array(block.tags), pa.array(np.diff(block.offs)), spans, texts], ["doc_id", "tag", "n_bytes", "spans", "kept"]
+        )
 
-    return apply, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
+    return apply, "doc_id long, tag long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, spans (removed, maximal) and kept (the other bytes)."""
+def remove_repeats(
+    docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None
+) -> DataFrame:
+    """One row per document: doc_id, tag (of ``tag_col``), n_bytes, spans (removed, maximal) and kept (the other bytes)."""
     if not _ANCHOR < window <= 64:
         raise ValueError("window is 33 to 64 bytes")
-    table = B.make_blocks(docs, "texts", id_col, text_col)
+    table = B.make_blocks(docs, "texts", id_col, text_col, tag_col)
     n = B.ranges(table, 8 << 20)
     sent = table.mapInArrow(_send_anchors(n, window), "part int, block long, keys binary, several binary")
     shared = store.materialize(sent.groupBy("part").applyInArrow(_shared, "block long, part int, bits binary"), "shared")
     apply, schema = _send_strips(n, window)
-    sent = store.materialize(B.back_to_blocks(table, shared, apply, schema), "strips")
-    found = (
-        sent.where("kind = 0").groupBy("part")
-        .applyInArrow(_sort_range(window), "block long, part int, size binary, low binary, high binary, body binary")
-    )
-    columns = ["kind", "block", "part", "size", "low", "high", "body"]
-    back = store.materialize(found.withColumn("kind", F.lit(0)), "cuts").select(columns)
-    apply, schema = _cut_block(window)
-    return B.back_to_blocks(table, back.unionByName(sent.where("kind = 1").select(columns)), apply, schema)
+    sent = B.back_to_blocks(table, shared, apply, schema)
+    found = sent.groupBy("part").applyInArrow(_sort_range(window), "block long, part int, " + ", ".join(f"{c} binary" for c in _CUT))
+    found = store.materialize(found, "cuts")
+    apply, schema = _cut_block(n, window)
+    return B.back_to_blocks(table, found.unionByName(shared, allowMissingColumns=True), apply, schema)
