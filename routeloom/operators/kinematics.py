@@ -53,7 +53,7 @@ def inspect(raw: DataFrame) -> DataFrame:
     counts = raw.groupBy("file_id").agg(
         F.countDistinct("trk").alias("n_tracks"),
         F.countDistinct("trk", "seg").alias("n_segments"),
-        F.count_if(~geo.valid_coordinate("lat", "lon")).alias("n_invalid"),
+        F.count_if(F.col("pt").isNotNull() & ~geo.valid_coordinate("lat", "lon")).alias("n_invalid"),
     )
     by = W.partitionBy("file_id").orderBy("idx")
     same = (F.col("lat") == F.lag("lat").over(by)) & (F.col("lon") == F.lag("lon").over(by))

@@ -400,18 +400,18 @@ def oracle_sql() -> dict[str, str]:
         "tiles_for_tracks": _with(TRACKS + "," + tiles_of("p0"), "SELECT file_id, ix, iy, tile_id, round(lon_min, 6) AS lon_min, round(lat_min, 6) AS lat_min, round(lon_max, 6) AS lon_max, round(lat_max, 6) AS lat_max FROM tl"),
         "tile_union": _with(TRACKS + "," + tiles_of("p0"), "SELECT DISTINCT tile_id, ix, iy FROM tl"),
         "tile_upsert_latest": _with(CATALOG, "SELECT tile_id, version, state, downloaded, roads FROM cl"),
-        "tile_cache_decision": _with(DECIDE, "SELECT * FROM dc"),
+        "tile_cache_decision": _with(DECIDE, "SELECT * REPLACE (coalesce(age_days, -1) AS age_days) FROM dc"),
         "tile_cache_offline": _with(
             DECIDE,
-            f"""SELECT w.tile_id, state, {_AGE} AS age_days, CASE WHEN state IN ('ok', 'empty') AND {_AGE} <= 90 AND (state = 'empty' OR version % 2 = 1) THEN 'reused' ELSE 'missing' END AS outcome,
+            f"""SELECT w.tile_id, state, coalesce({_AGE}, -1) AS age_days, CASE WHEN state IN ('ok', 'empty') AND {_AGE} <= 90 AND (state = 'empty' OR version % 2 = 1) THEN 'reused' ELSE 'missing' END AS outcome,
             coalesce(state = 'ok', false) AS usable FROM (SELECT DISTINCT tile_id FROM tl) w LEFT JOIN cl USING (tile_id)""",
         ),
         "tile_outcome_counts": _with(DECIDE, "SELECT outcome, count(*) AS n, count(*) FILTER (usable) AS n_usable FROM dc GROUP BY ALL"),
         "tile_downloads": _with(CATALOG, "SELECT tile_id, version + 1000 AS version, CASE WHEN version % 3 = 0 THEN 'error' WHEN version % 3 = 1 THEN 'ok' ELSE 'empty' END AS state, CASE WHEN version % 3 = 1 THEN 7 ELSE 0 END AS roads FROM cl"),
-        "base_versions": _with(TRACKS + "," + tiles_of("p0") + "," + CATALOG, "SELECT file_id, CAST(max(downloaded) AS DATE) AS base_version FROM tl JOIN cl USING (tile_id) GROUP BY ALL"),
+        "base_versions": _with(TRACKS + "," + tiles_of("p0") + "," + CATALOG, "SELECT file_id, CAST(CAST(max(downloaded) AS DATE) AS VARCHAR) AS base_version FROM tl JOIN cl USING (tile_id) GROUP BY ALL"),
         "repeat_detection": """WITH f AS (SELECT DISTINCT user_id AS file_id, sha256('track ' || (user_id % 40)) AS file_hash, 'a' AS config_hash FROM events),
           p AS (SELECT sha256('track ' || (c_custkey % 60)) AS file_hash, CASE WHEN c_custkey % 3 = 0 THEN 'b' ELSE 'a' END AS config_hash, max(c_custkey) AS prior_id FROM customer GROUP BY ALL)
-          SELECT file_id, file_hash, prior_id, prior_id IS NOT NULL AS repeated FROM f LEFT JOIN p USING (file_hash, config_hash)""",
+          SELECT file_id, file_hash, coalesce(prior_id, -1) AS prior_id, prior_id IS NOT NULL AS repeated FROM f LEFT JOIN p USING (file_hash, config_hash)""",
         "download_errors": "SELECT CAST(doc_id AS VARCHAR) AS tile_id, sha256(substr(text, 1, 1000)) AS message_sha256, length(substr(text, 1, 1000)) AS n FROM documents",
         "normalize_road_names": _with(_NAMES, f"SELECT k, strip_accents(name) AS plain, {norm_sql('name')} AS normalized FROM nm"),
         "road_identity": _with(
@@ -430,7 +430,7 @@ def oracle_sql() -> dict[str, str]:
         "emission_scores": _with(CANDIDATES, "SELECT file_id, idx, pos, round(emission, 3) AS emission FROM cand"),
         "nearest_roads": _with(CANDIDATES, "SELECT file_id, idx, count(pos) AS n, round(min(distance_m), 3) AS nearest_m FROM k6 LEFT JOIN cand USING (file_id, idx) GROUP BY ALL"),
         "network_distances": _with(ROADS + "," + NETWORK.format(far=450), "SELECT source, target AS \"to\", round(dist, 3) AS dist FROM net"),
-        "viterbi_path": _with(MATCH, "SELECT file_id, idx, state, u, v, road_id FROM mt"),
+        "viterbi_path": _with(MATCH, "SELECT file_id, idx, coalesce(state, -1) AS state, coalesce(u, -1) AS u, coalesce(v, -1) AS v, road_id FROM mt"),
         "match_margins": _with(MATCH, "SELECT file_id, idx, round(road_m, 3) AS road_m, round(margin, 3) AS margin, CASE WHEN state IS NULL THEN 'no road within the radius' ELSE '' END AS reason FROM mt"),
         "road_runs": _with(MATCH + "," + runs("mt", "road_id", "g0"), "SELECT file_id, leg_no, any_value(road_id) AS road, count(*) AS n, round(sum(dist_prev_m), 2) AS distance_m FROM g0 GROUP BY ALL"),
         "smooth_runs": _with(LEGS, "SELECT file_id, idx, leg_road, leg_no FROM ml"),
@@ -462,7 +462,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT file_id, 'read', 'ERROR', 'no valid point in the file', 'the file is empty or has no valid coordinates' FROM f WHERE n_points = 0
             UNION ALL SELECT f.file_id, 'clean', 'ERROR', 'fewer than two points after cleaning', '' FROM f LEFT JOIN (SELECT file_id, count(*) AS n FROM k4 GROUP BY ALL) c USING (file_id) WHERE n_points > 0 AND coalesce(n, 0) < 2
             UNION ALL SELECT file_id, 'roads', 'ALERT', 'no road identified', 'run online or refresh the cache' FROM sx WHERE status = 'partial')
-            SELECT * FROM al""",
+            SELECT CAST(file_id AS VARCHAR) AS file_id, stage, kind, message, action FROM al
+            UNION ALL SELECT NULL, NULL, NULL, 'no error or alert', NULL WHERE NOT EXISTS (SELECT 1 FROM al)""",
         ),
         "map_layers": _with(
             LEGS,

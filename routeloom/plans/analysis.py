@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from routeloom.config import Settings
@@ -18,10 +19,20 @@ class Analysis:
     raw: DataFrame
     edges: DataFrame | None = None
     settings: Settings = Settings()
+    #: Keep the frames that several results share (memory first, then local disk).
+    keep: bool = True
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else df
+
+    def release(self) -> None:
+        for name in ("files", "cleaned", "simplified", "matched", "legs", "counts"):
+            if name in self.__dict__:
+                self.__dict__[name].unpersist()
 
     @cached_property
     def files(self) -> DataFrame:
-        return kinematics.inspect(self.raw)
+        return self._kept(kinematics.inspect(self.raw))
 
     @cached_property
     def original(self) -> DataFrame:
@@ -29,11 +40,11 @@ class Analysis:
 
     @cached_property
     def cleaned(self) -> DataFrame:
-        return clean.clean(self.original, self.settings)
+        return self._kept(clean.clean(self.original, self.settings))
 
     @cached_property
     def simplified(self) -> DataFrame:
-        return simplify.simplify(self.cleaned, self.settings)
+        return self._kept(simplify.simplify(self.cleaned, self.settings))
 
     @cached_property
     def located(self) -> DataFrame:
@@ -44,15 +55,15 @@ class Analysis:
 
     @cached_property
     def matched(self) -> DataFrame:
-        return matching.match(self.located, self.edges, self.settings)
+        return self._kept(matching.match(self.located, self.edges, self.settings))
 
     @cached_property
     def legs(self) -> DataFrame:
-        return legs.legs(self.matched, self.settings)
+        return self._kept(legs.legs(self.matched, self.settings))
 
     @cached_property
     def counts(self) -> DataFrame:
-        return simplify.simplify_stats(self.original, self.cleaned, self.simplified)
+        return self._kept(simplify.simplify_stats(self.original, self.cleaned, self.simplified))
 
     @cached_property
     def status(self) -> DataFrame:

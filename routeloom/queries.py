@@ -216,13 +216,15 @@ def _needed(spark, d) -> DataFrame:
 
 @query
 def tile_cache_decision(spark, d):
-    return tiles.decide(_needed(spark, d), fixtures.catalog(spark, d), F.lit(_NOW).cast("timestamp_ntz"))
+    out = tiles.decide(_needed(spark, d), fixtures.catalog(spark, d), F.lit(_NOW).cast("timestamp_ntz"))
+    return out.withColumn("age_days", F.coalesce("age_days", F.lit(-1)))
 
 
 @query
 def tile_cache_offline(spark, d):
     stored = tiles.latest(fixtures.catalog(spark, d)).where("version % 2 = 1")
-    return tiles.decide(_needed(spark, d), fixtures.catalog(spark, d), F.lit(_NOW).cast("timestamp_ntz"), Settings(offline=True), stored)
+    out = tiles.decide(_needed(spark, d), fixtures.catalog(spark, d), F.lit(_NOW).cast("timestamp_ntz"), Settings(offline=True), stored)
+    return out.withColumn("age_days", F.coalesce("age_days", F.lit(-1)))
 
 
 @query
@@ -243,7 +245,8 @@ def tile_downloads(spark, d):
 
 @query
 def base_versions(spark, d):
-    return catalog.base_version(_needed(spark, d).select("file_id", "tile_id"), fixtures.catalog(spark, d))
+    out = catalog.base_version(_needed(spark, d).select("file_id", "tile_id"), fixtures.catalog(spark, d))
+    return out.withColumn("base_version", F.col("base_version").cast("string"))
 
 
 def _history(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -258,7 +261,7 @@ def _history(spark, d) -> tuple[DataFrame, DataFrame]:
 
 @query
 def repeat_detection(spark, d):
-    return catalog.previous_runs(*_history(spark, d)).select("file_id", "file_hash", "prior_id", "repeated")
+    return catalog.previous_runs(*_history(spark, d)).select("file_id", "file_hash", F.coalesce("prior_id", F.lit(-1)).alias("prior_id"), "repeated")
 
 
 @query
@@ -368,7 +371,11 @@ def network_distances(spark, d):
 @query
 def viterbi_path(spark, d):
     out = _analysis(spark, d).matched
-    return out.select("file_id", "idx", F.col("state").cast("long").alias("state"), "chosen.u", "chosen.v", F.col("chosen.road_id").alias("road_id"))
+    none = F.lit(-1).cast("long")
+    return out.select(
+        "file_id", "idx", F.coalesce(F.col("state").cast("long"), none).alias("state"), F.coalesce("chosen.u", none).alias("u"),
+        F.coalesce("chosen.v", none).alias("v"), F.col("chosen.road_id").alias("road_id"),
+    )
 
 
 @query
@@ -434,7 +441,7 @@ def report_points(spark, d):
 
 @query
 def report_alerts(spark, d):
-    return reports.alert_rows(_analysis(spark, d).alerts)
+    return reports.alert_rows(_analysis(spark, d).alerts).withColumn("file_id", F.col("file_id").cast("string"))
 
 
 @query
