@@ -2,11 +2,11 @@
 
 1. Every text becomes its set of distinct word shingles (64-bit hashes), a MinHash signature of ``bands * rows`` values and
    ``bands`` keys of ``rows`` values each.  Texts with equal sets become one node.
-2. Nodes that share a band key are candidates.  First every node of a bucket is compared with the bucket's first node
-   only.  Verified pairs are links, and links make components.
-3. Then the pairs of a bucket that are neither compared nor in one component yet are compared.  A bucket whose nodes all
-   meet in one component has none, so a large group of copies costs one comparison a copy and bucket, and still no
-   pair that shares a bucket is passed over.
+2. Nodes that share a band key are candidates.  First every node of a bucket is compared with one node of it only, the
+   one that meets most others anywhere.  Verified pairs are links, and links make components.
+3. Then the pairs of a bucket that are not in one component yet are compared, in tiles of the families that such buckets
+   form; tiles give out links only.  A bucket whose nodes all meet in one component has no such pair, so a large
+   group of copies costs one comparison a copy and bucket, and still no pair that shares a bucket is passed over.
 4. Verification looks at signatures in batches.  After each batch a pair is dropped when the posterior probability
    (uniform prior) that its similarity reaches the threshold is below ``miss``; the others are confirmed on
    the full sets: 100 * intersection >= 100 * threshold * union.
@@ -54,12 +54,13 @@ def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np
     full = place + k <= own
     # a text of fewer words: one shingle over all of them
     few = (own < k) & (place == 0)
-    for at in np.flatnonzero(few):
-        t = K.U(0)
-        for i in range(own[at]):
-            t = K.mix(np.array([t + K.U(i + 1)], K.U))[0] + h[at + i]
-        total[at] = t + K.U(0x5851F42D4C957F2D) * K.U(own[at])
-        short[at] = True
+    at = np.flatnonzero(few)
+    t = np.zeros(len(at), K.U)
+    for i in range(k - 1):
+        more = own[at] > i
+        t[more] = K.mix(t[more] + K.U(i + 1)) + h[at[more] + i]
+    total[at] = t + K.U(0x5851F42D4C957F2D) * own[at].astype(K.U)
+    short[at] = True
     use = full | short
     h, doc = K.mix(total[use]), doc[use]
     order = np.argsort(K.with_doc(h, doc))
@@ -148,12 +149,9 @@ def _likely(pairs: DataFrame, nodes: DataFrame, bands: int, rows: int, threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, width) for c in (2, 3))
-            alive, same = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for i, m in enumerate(least):
-                part = slice(i * step, (i + 1) * step)
-                same[alive] += (x[alive, part] == y[alive, part]).sum(1)
-                alive = alive[same[alive] >= m]
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist() + batch.column(3).to_pylist()), np.uint16).reshape(-1, width)
+            at = np.arange(batch.num_rows)
+            alive = _compare(at, at + batch.num_rows, sig, least, step)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(alive)) for c in (0, 1)], ["a", "b"])
 
     left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
@@ -194,8 +192,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, K.U), np.frombuffer(y, K.U)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_py(), K.U) for c in (2, 3))
                 at = np.searchsorted(y, x)
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 if 100 * both >= percent * (len(x) + len(y) - both):
@@ -208,23 +206,156 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of the nodes of ``links`` (a, b); a component is named after its least node.
+    """(node, component) of the nodes of ``links`` (a, b); a component is named after one of its nodes, the least of most.
 
-    Every round takes the least name among a node's neighbours and then the name of that name, so the rounds
-    follow the logarithm of the longest path.
+    Every round gives a node the least name among its neighbours, and that name's own, and then contracts the links to
+    names, so later rounds see few of them; the rounds follow the logarithm of the longest path.
     """
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = store.materialize(both.union(both.select("v", "u")).distinct(), "links")
-    names = store.materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("name")), "names")
+    edges = store.materialize(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u != v").distinct(), "links")
+    labels = None
     while True:
-        near = both.join(names.select(F.col("u").alias("v"), F.col("name").alias("their")), "v").groupBy("u").agg(F.min("their").alias("their"))
-        step = names.join(near, "u").select("u", "name", F.least("name", "their").alias("best"))
-        of = names.select(F.col("u").alias("best"), F.col("name").alias("root"))
-        step = step.join(of, "best").select("u", F.col("name").alias("old"), F.least("best", "root").alias("name"))
-        step = store.materialize(step, "names")
-        names = step.select("u", "name")
-        if step.where("old != name").isEmpty():
-            return names.select(F.col("u").alias("node"), F.col("name").alias("component"))
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = store.materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("name")), "near")
+        jump = near.select(F.col("u").alias("name"), F.col("name").alias("root"))
+        step = store.materialize(near.join(jump, "name").select("u", "root"), "names")
+        if labels is None:
+            labels = step.select(F.col("u").alias("node"), F.col("root").alias("component"))
+        else:
+            moved = step.select(F.col("u").alias("component"), "root")
+            labels = labels.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+            labels = store.materialize(labels, "labels")
+        left = edges.join(step.select("u", F.col("root").alias("x")), "u").join(step.select(F.col("u").alias("v"), F.col("root").alias("y")), "v")
+        left = left.where("x != y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        edges = store.materialize(left, "links")
+        if edges.isEmpty():
+            return labels
+
+
+def _members(slots: DataFrame) -> DataFrame:
+    """(key, node, place, size): buckets of two nodes or more, each bucket's nodes in one global order.
+
+    Nodes that meet many others come first: the original of a family of copies meets more of it than any copy does.
+    """
+    sizes = store.materialize(slots.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    own = store.materialize(slots.join(sizes, "key"), "met")
+    rank = own.groupBy("node").agg(F.struct(-F.sum("size"), F.col("node")).alias("rank"))
+    return store.materialize(own.join(rank, "node"), "members")
+
+
+def _first_pairs(member: DataFrame) -> DataFrame:
+    """Every node of a bucket against the bucket's first."""
+    lead = member.groupBy("key").agg(F.min_by("node", "rank").alias("lead"))
+    return member.join(lead, "key").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+
+
+def _mixed(member: DataFrame, names: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component, with their component."""
+    placed = member.join(names, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return placed.join(keys.select("key"), "key", "left_semi")
+
+
+def _compare(x: np.ndarray, y: np.ndarray, sig: np.ndarray, least: list[int], step: int) -> np.ndarray:
+    """Which pairs (x[i], y[i]) signatures do not rule out."""
+    alive, same = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for i, m in enumerate(least):
+        part = slice(i * step, (i + 1) * step)
+        same[alive] += (sig[x[alive], part] == sig[y[alive], part]).sum(1)
+        alive = alive[same[alive] >= m]
+    return alive
+
+
+def _family_links(least: list[int], step: int, width: int, percent: int):
+    """Links between components inside one tile of a family; a link that joins nothing new is left out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.num_rows
+        node = table["node"].to_numpy()
+        side = table["side"].to_numpy()
+        component = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(rows, width)
+        sets = [np.frombuffer(m, K.U) for m in table["members"].to_pylist()]
+        size = np.array([len(m) for m in sets], np.int64)
+        words, local = np.unique(np.concatenate(sets), return_inverse=True)
+        edge = np.concatenate(([0], np.cumsum(size)))
+        keys = table["keys"].to_pylist()
+        flat, owner = np.concatenate([np.array(k, np.int64) for k in keys]), np.repeat(np.arange(rows), [len(k) for k in keys])
+        order = np.argsort(flat, kind="stable")
+        owner = owner[order]
+        cuts = np.flatnonzero(np.diff(flat[order])) + 1
+        met: dict[int, list[np.ndarray]] = {}
+        for own in np.split(owner, cuts):
+            if len(own) > 1 and component[own].min() != component[own].max():
+                for x in own[side[own] == 0]:
+                    met.setdefault(int(x), []).append(own)
+        root = np.arange(component.max() + 1)
+        mark, out = np.zeros(len(words), bool), []
+        for x, lists in met.items():
+            y = np.unique(np.concatenate(lists))
+            y = y[(y != x) & (root[component[y]] != root[component[x]]) & ~((side[y] == 0) & (y < x))]
+            y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+            y = y[_compare(np.full(len(y), x), y, sig, least, step)]
+            if not len(y):
+                continue
+            mark[local[edge[x] : edge[x + 1]]] = True
+            for lo in range(0, len(y), 512):
+                own = y[lo : lo + 512]
+                ends = np.cumsum(size[own])
+                place = np.arange(ends[-1]) + np.repeat(edge[own] - (ends - size[own]), size[own])
+                both = np.add.reduceat(mark[local[place]].astype(np.int64), ends - size[own])
+                for at in own[100 * both >= percent * (size[x] + size[own] - both)]:
+                    a, b = root[component[x]], root[component[at]]
+                    if a != b:
+                        out.append((node[x], node[at]))
+                        root[root == a] = b
+            mark[local[edge[x] : edge[x + 1]]] = False
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return run
+
+
+def _rest(mixed: DataFrame, facts: DataFrame, sets: DataFrame, bands: int, rows: int, threshold: float, miss: float) -> DataFrame:
+    """Links between components that share a bucket.
+
+    Nodes that share mixed buckets, directly or through others, are a family.  Nothing leaves a family but links: the nodes outside
+    its largest component meet all its nodes in tiles of at most ``2 * _TILE`` nodes, each tile one task's group,
+    however large the family is.
+    """
+    lead = mixed.groupBy("key").agg(F.min("node").alias("lead"))
+    stars = mixed.join(lead, "key").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    family = components(stars).withColumnRenamed("component", "family")
+    own = mixed.groupBy("node").agg(F.any_value("component").alias("component"), F.collect_list("key").alias("keys")).join(family, "node")
+    own = store.materialize(own.join(facts.select("node", "n"), "node"), "families")
+    # weight of a node: a tile holds at most about _TILE nodes and _TILE_SHINGLES shingles of either side
+    weight = F.greatest(F.lit(1.0), F.col("n") * (_TILE / _TILE_SHINGLES))
+    counts = own.groupBy("family", "component").agg(F.sum(weight).alias("w"))
+    sizes = counts.groupBy("family").agg(
+        F.max_by("component", F.struct("w", "component")).alias("main"), F.max("w").alias("inside"), (F.sum("w") - F.max("w")).alias("outside")
+    )
+    own = own.join(sizes, "family")
+    tiles = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / _TILE).cast("int"))
+    main, dice = F.col("component") == F.col("main"), F.xxhash64("node")
+    own = own.select(
+        "family", "node", "component", "keys", main.alias("main"), tiles("outside").alias("rows"), tiles("inside").alias("columns"),
+        F.pmod(dice, F.when(main, tiles("inside")).otherwise(tiles("outside"))).cast("int").alias("tile"),
+    )
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    tile = F.col("tile")
+    # tile (i, j): outer nodes i against inner nodes j, or (j < 0) against the outer nodes -1 - j
+    inner = F.transform(every(F.col("rows")), lambda i: place(i, tile, 1))
+    outer = F.concat(
+        F.transform(every(F.col("columns")), lambda j: place(tile, j, 0)),
+        F.transform(F.filter(every(F.col("rows")), lambda i: i >= tile), lambda i: place(tile, -1 - i, 0)),
+        F.transform(F.filter(every(F.col("rows")), lambda i: i < tile), lambda i: place(i, -1 - tile, 1)),
+    )
+    own = own.select("family", "node", "component", "keys", F.explode(F.when(F.col("main"), inner).otherwise(outer)).alias("at"))
+    own = own.select("family", "at.*", "node", "component", "keys").join(facts.select("node", "sig"), "node").join(sets, "node")
+    run = _family_links(least_matches(rows * 6, bands // 6, threshold, miss), rows * 6, bands * rows, round(threshold * 100))
+    return own.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
+
+
+_TILE, _TILE_SHINGLES = 1024, 1 << 20
 
 
 def near_groups(
@@ -239,36 +370,24 @@ def near_groups(
         raise ValueError("bands is a multiple of 6, and bands * rows at most 1024")
     table = store.materialize(features(docs, shingle, bands, rows, id_col, text_col, carry), "features")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tag")
-    sets = table.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min(order).alias("first"))
-    sets = store.materialize(sets, "sets")
-    nodes = sets.withColumn("node", F.col("first.tag"))
+    nodes = table.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min(order).alias("first"))
+    nodes = store.materialize(nodes, "nodes").withColumn("node", F.col("first.tag"))
     sketch = table.select(F.col("tag").alias("node"), "keys", "sig").join(nodes.select("node", "n"), "node")
     sketch = store.materialize(sketch, "sketches")
     slots = sketch.select(F.explode("keys").alias("key"), "node")
-    buckets = slots.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    member = store.materialize(slots.join(store.materialize(buckets, "buckets"), "key").select("key", "node", "lead"), "members")
-    nodes_of = sketch.drop("keys")
-
-    tested = store.materialize(member.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
-    links = None
-    for last in (False, True):
-        likely = store.materialize(_likely(tested, nodes_of, bands, rows, threshold, miss), "likely")
-        wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        full = store.materialize(_sets(docs, nodes, wanted, shingle, id_col, text_col), "full")
-        found = store.materialize(_confirmed(likely, full, threshold), "confirmed")
-        links = found if links is None else links.union(found)
+    member = _members(slots)
+    facts = sketch.drop("keys")
+    tested = store.materialize(_first_pairs(member), "pairs")
+    likely = store.materialize(_likely(tested, facts, bands, rows, threshold, miss), "likely")
+    wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+    sets = store.materialize(_sets(docs, nodes, wanted, shingle, id_col, text_col), "full")
+    links = store.materialize(_confirmed(likely, sets, threshold), "confirmed")
+    names = components(links)
+    mixed = store.materialize(_mixed(member, names), "mixed")
+    if not mixed.isEmpty():
+        sets = store.materialize(_sets(docs, nodes, mixed.select("node").distinct(), shingle, id_col, text_col), "full")
+        links = links.union(store.materialize(_rest(mixed, facts, sets, bands, rows, threshold, miss), "rest"))
         names = components(links)
-        if last:
-            break
-        # pairs of a bucket in different components that the first comparison did not have
-        placed = member.join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        placed = store.materialize(placed.where("node != lead").join(mixed.select("key"), "key", "left_semi").select("key", "node", "component"), "mixed")
-        other = placed.select("key", F.col("node").alias("b"), F.col("component").alias("its"))
-        rest = placed.withColumnRenamed("node", "a").join(other, "key").where("a > b and component != its").select("a", "b").distinct()
-        tested = store.materialize(rest.join(tested, ["a", "b"], "left_anti"), "rest")
-        if tested.isEmpty():
-            break
     of = nodes.join(names, "node", "left").select("node", "fp1", "fp2", "n", "first", F.coalesce("component", "node").alias("component"))
     best = of.groupBy("component").agg(F.min("first").alias("best"))
     of = store.materialize(of.join(best, "component").select(F.col("fp1").alias("k1"), F.col("fp2").alias("k2"), F.col("n").alias("k3"), "best"), "groups")
