@@ -120,9 +120,11 @@ def with_candidates(points: DataFrame, edges: DataFrame, s: Settings = Settings(
         return lateral + F.coalesce(heading, F.lit(0.0)) + F.coalesce(F.try_element_at(bonus, h["highway"]), F.lit(0.0))
 
     def candidate(h):
-        lat, lon = geo.from_utm(h["foot_x"], h["foot_y"], F.col("epsg"))
-        kept = ("u", "v", "k", "road_id", "road_name", "ref", "highway", "osmid", "distance_m", "road_bearing", "fraction", "route_length_m")
-        return F.struct(*[h[c].alias(c) for c in kept], lat.alias("foot_lat"), lon.alias("foot_lon"), score(h).alias("emission"))
+        kept = (
+            "u", "v", "k", "road_id", "road_name", "ref", "highway", "osmid", "distance_m", "road_bearing", "fraction", "route_length_m",
+            "foot_x", "foot_y",
+        )
+        return F.struct(*[h[c].alias(c) for c in kept], score(h).alias("emission"))
 
     out = by_point.withColumn("candidates", F.transform("hits", candidate))
     return out.select(*[F.col(f"point.{c}") for c in columns], "epsg", F.col("px").alias("x"), F.col("py").alias("y"), "candidates")

@@ -32,7 +32,7 @@ def legs(matched: DataFrame, s: Settings = Settings()) -> DataFrame:
     mine = F.col("chosen.road_id") == F.col("leg_road")
     near = F.struct(F.round("chosen.distance_m", 6), "idx")
     place = F.when(F.col("chosen").isNull() | F.col("leg_road").isNull(), F.struct("lon", "lat")).otherwise(
-        F.struct(F.col("chosen.foot_lon").alias("lon"), F.col("chosen.foot_lat").alias("lat"))
+        F.struct(F.col("foot_lon").alias("lon"), F.col("foot_lat").alias("lat"))
     )
     out = own.groupBy("file_id", "leg_no").agg(
         F.any_value("leg_road").alias("road_id"),

@@ -155,13 +155,16 @@ def match(points: DataFrame, edges: DataFrame, s: Settings = Settings()) -> Data
 
 
 def describe(matched: DataFrame) -> DataFrame:
-    """Adds chosen, second (best emission among the others), margin, road_m and reason."""
+    """Adds chosen, second (best emission among the others), margin, road_m, foot_lat, foot_lon (on the chosen road) and reason."""
     chosen = F.get("candidates", F.col("state"))
     others = F.filter("candidates", lambda c, i: i != F.col("state"))
     best = F.element_at(F.array_sort(F.transform(others, lambda c, i: F.struct((-F.round(c["emission"], 6)).alias("a"), i.alias("i"), c.alias("c")))), 1)
     out = matched.withColumn("chosen", F.when(F.col("state").isNotNull(), chosen))
     out = out.withColumn("second", F.when(F.col("state").isNotNull() & (F.size("candidates") > 1), best["c"]))
+    lat, lon = geo.from_utm("chosen.foot_x", "chosen.foot_y", "epsg")
     return out.withColumns({
+        "foot_lat": lat,
+        "foot_lon": lon,
         "margin": F.col("chosen.emission") - F.col("second.emission"),
         "road_m": F.col("chosen.distance_m"),
         "reason": F.when(F.col("state").isNull(), F.lit("no road within the radius")).otherwise(F.lit("")),
