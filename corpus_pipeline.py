@@ -5,45 +5,46 @@ A stage takes (spark, docs, sf_dir) and returns a frame; all but the last return
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeloom.llm import exact_dedup, language_id, near_dedup, packing, queries, store, suffix_dedup
 
 
-def _rows(df: DataFrame) -> DataFrame:
-    return df.select("row.*")
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, or that no known language explains."""
     fitted = language_id.fit(docs.select("doc_id", "text", "lang"), F.lit(True))
-    return _rows(language_id.identify(docs, fitted, carry=True).where(~F.col("rejected")))
+    return language_id.identify(docs, fitted, carry=True).where(~F.col("rejected")).select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lowered) the row with the largest id stays."""
-    return _rows(exact_dedup.exact_dedup(docs, carry=True).where("kept"))
+    return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by five-word shingles at similarity 0.8 or more the row with the smallest id stays."""
-    return _rows(near_dedup.near_groups(docs, shingle=5, threshold=0.8, carry=True).where("kept"))
+    return near_dedup.keep_one(docs, shingle=5, threshold=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts 50-byte passages that an earlier document has; drops documents of which nothing is left."""
-    tagged = store.materialize(docs.withColumn("__tag", F.monotonically_increasing_id()), "tagged")
-    cut = suffix_dedup.remove_repeats(tagged, window=50, tag_col="__tag")
-    left = F.make_valid_utf8(F.col("kept").cast("string"))
-    cut = cut.where("size(spans) > 0").select("tag", left.alias("__left"))
-    joined = tagged.join(cut, F.col("__tag") == F.col("tag"), "left")
-    text = F.when(F.col("tag").isNull(), F.col("text")).otherwise(F.col("__left"))
-    gone = F.col("tag").isNotNull() & (F.trim("__left") == "")
-    out = joined.where(~gone).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("tag").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
-    return out.select(*docs.columns)
+    others = docs.drop("text")
+    cut = suffix_dedup.remove_repeats(docs, window=50, extra=F.to_json(F.struct(*[F.col(f"`{c}`") for c in others.columns])))
+    shorter = F.size("spans") > 0
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    cut = cut.select(F.from_json("extra", others.schema).alias("of"), text.alias("left"), shorter.alias("shorter"))
+    cut = cut.where(~(F.col("shorter") & (F.trim("left") == "")))
+
+    def column(name: str):
+        if name == "text":
+            return F.col("left").alias(name)
+        own = F.col(f"of.`{name}`")
+        return (F.when(F.col("shorter"), F.length("left").cast("long")).otherwise(own) if name == "n_chars" else own).alias(name)
+
+    return cut.select(*[column(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +54,24 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def _stage(f):
+    """A stage whose own tables go when the next one starts: by then its result has been written."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        store.release(spark, "pipeline")
+        with store.group("pipeline"):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language", identify_language),
-    ("exact copies", drop_exact_copies),
-    ("near copies", drop_near_copies),
-    ("repeats", cut_repeats),
-    ("packing", pack),
+    ("language", _stage(identify_language)),
+    ("exact copies", _stage(drop_exact_copies)),
+    ("near copies", _stage(drop_near_copies)),
+    ("repeats", _stage(cut_repeats)),
+    ("packing", _stage(pack)),
 ]
 #: Language identification, MinHash and the packing search have no SQL form; the tests hold a brute-force version.
 ORACLE_SQL = None

@@ -19,14 +19,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from routeloom.llm import kernels as K
 from routeloom.llm import store
 
 BLOCK_BYTES = 2 << 20
-BLOCK_SCHEMA = "block long, n_docs int, n_bytes long, ids binary, null_ids binary, tags binary, offs binary, data binary"
+BLOCK_SCHEMA = "block long, n_docs int, n_bytes long, ids binary, null_ids binary, extra binary, offs binary, data binary"
 
 
 def pack(raw: bytes | np.ndarray) -> bytes:
@@ -46,10 +48,15 @@ class Block:
         self.number = row["block"]
         self.ids = unpack(row["ids"], np.int64)
         self.null_ids = unpack(row["null_ids"], np.bool_)
-        self.tags = unpack(row["tags"], np.int64)
+        self.packed_extra = row["extra"]
         self.offs = unpack(row["offs"], np.int64)
         self.data = unpack(row["data"])
 
+    def extra(self) -> pa.Array:
+        """What went with the rows (JSON); null where nothing did."""
+        n, text = len(self.ids), unpack(self.packed_extra).tobytes().decode()
+        return pa.array(text.split("\n") if text else [None] * n, pa.string())
+
     def doc_ids(self) -> pa.Array:
         return pa.array(self.ids, pa.int64(), mask=self.null_ids)
 
@@ -70,7 +77,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         nonlocal number, held, size
         ids = pa.chunked_array([h[0] for h in held])
-        tags = pa.chunked_array([h[3] for h in held]).to_numpy()
+        extra = "\n".join(x or "" for h in held for x in h[3].to_pylist()) if held[0][3].null_count == 0 else ""
         offs, at = [np.zeros(1, np.int64)], 0
         for _, _, o, _ in held:
             offs.append(o[1:] + at)
@@ -78,7 +85,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = b"".join([h[1].tobytes() for h in held])
         row = [
             number, len(ids), at, pack(ids.fill_null(0).to_numpy().astype(np.int64)),
-            pack(ids.is_null().to_numpy().astype(np.bool_)), pack(tags), pack(np.concatenate(offs)), pack(data),
+            pack(ids.is_null().to_numpy().astype(np.bool_)), pack(extra.encode()), pack(np.concatenate(offs)), pack(data),
         ]
         number, held, size = number + 1, [], 0
         kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
@@ -97,13 +104,13 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BLOCK_NAMES = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
 
 
-def make_blocks(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None) -> DataFrame:
+def make_blocks(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", extra: Column | None = None) -> DataFrame:
     """Write the texts of ``docs`` as a table of blocks bucketed by block number; null texts are empty.
 
-    ``tag_col`` (a long that is never null) goes with the rows.
+    ``extra`` (JSON, never null) goes with the rows.
     """
-    tag = F.col(tag_col) if tag_col else F.lit(0)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), tag.cast("long").alias("tag"))
+    extra = F.lit(None).cast("string") if extra is None else extra
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), extra.alias("extra"))
     n = store.shuffle_partitions(docs.sparkSession)
     return store.materialize_bucketed(rows.mapInArrow(_to_blocks, BLOCK_SCHEMA), name, n, "block")
 
@@ -135,18 +142,12 @@ def back_to_blocks(
     blocks: DataFrame, answers: DataFrame, apply: Callable[[Block, list[dict]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     """Call ``apply(block, its answers)``; the blocks' rows stay where they are."""
-    names = [x.strip().split(" ")[0] for x in schema.split(", ")]
+    shape = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = list(by_block(right))
         out = [b for row in by_block(left) for b in apply(Block(row), rows)]
-        return pa.Table.from_batches(out) if out else empty(names)
-
-    def empty(_: list[str]) -> pa.Table:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
-
-        return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+        return pa.Table.from_batches(out) if out else shape.empty_table()
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 

@@ -10,8 +10,8 @@ equal; a digest met with two lengths stops the job.
 
 Defined cases: a null text is the empty text; of rows repeated with one
 ``doc_id`` and text exactly one stays; a null ``doc_id`` stays only in a group without other
-ids; an empty table gives an empty result; other columns are ignored, or returned
-in the struct ``row`` with ``carry=True``, whatever their names.
+ids; an empty table gives an empty result; other columns are ignored, whatever their names, and stay
+with the rows that :func:`keep_one` returns.
 """
 
 from __future__ import annotations
@@ -79,20 +79,24 @@ def survivors(table: DataFrame, n_runs: int, fan_in: int, keep: str) -> DataFram
     )
 
 
-def exact_dedup(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "last", fan_in: int = 16,
-    carry: bool = False,
-) -> DataFrame:
-    """One row per input row: doc_id, digest, n_bytes, keep_id, group_size, kept (and row).
-
-    ``keep`` says whether the largest id (``last``) or the smallest (``first``) of equal texts stays.
-    """
+def _runs_and_best(docs: DataFrame, id_col: str, text_col: str, keep: str, fan_in: int, carry: bool) -> tuple[DataFrame, DataFrame]:
+    """The written runs, and of every group of two rows or more its digest (``of``), staying row (``best``) and size."""
     if keep not in ("first", "last"):
         raise ValueError("keep is 'first' or 'last'")
     table = store.materialize(runs(docs, id_col, text_col, carry), "digests")
     n_runs = (table.agg(F.max(F.shiftright("tag", 33))).first()[0] or 0) + 1
     groups = survivors(table.drop("row"), n_runs, fan_in, keep).where(F.col("size") > 1)
-    best = store.materialize(groups.select(F.col("digest").alias("of"), "best", "size"), "survivors")
+    return table, store.materialize(groups.select(F.col("digest").alias("of"), "best", "size"), "survivors")
+
+
+def exact_dedup(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "last", fan_in: int = 16
+) -> DataFrame:
+    """One row per input row: doc_id, digest, n_bytes, keep_id, group_size, kept.
+
+    ``keep`` says whether the largest id (``last``) or the smallest (``first``) of equal texts stays.
+    """
+    table, best = _runs_and_best(docs, id_col, text_col, keep, fan_in, False)
     joined = table.join(best, F.col("digest") == F.col("of"), "left")
     alone = F.col("of").isNull()
     return joined.select(
@@ -102,5 +106,11 @@ def exact_dedup(
         F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("tag") == -F.col("best.tag"))).alias("kept"),
-        *(["row"] if carry else []),
     )
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "last", fan_in: int = 16) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    table, best = _runs_and_best(docs, id_col, text_col, keep, fan_in, True)
+    dropped = table.select("digest", "tag").join(best, F.col("digest") == F.col("of")).where(F.col("tag") != -F.col("best.tag"))
+    return store.without(table, dropped.select("tag"), "tag").select("row.*")

@@ -15,8 +15,8 @@ At 36 bands of 5 rows a pair at similarity 0.8 shares no band with probability 7
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; a text of fewer words
 than a shingle is one shingle; rows repeated with one id are separate rows of one node, of which one is kept;
-null ids rank behind all others; an empty table gives an empty result; other columns are ignored, or
-returned in the struct ``row`` with ``carry=True``.
+null ids rank behind all others; an empty table gives an empty result; other columns are ignored, and stay with the
+rows that :func:`keep_one` returns.
 """
 
 from __future__ import annotations
@@ -358,14 +358,10 @@ def _rest(mixed: DataFrame, facts: DataFrame, sets: DataFrame, bands: int, rows:
 _TILE, _TILE_SHINGLES = 1024, 1 << 20
 
 
-def near_groups(
-    docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, bands: int = 36, rows: int = 5, miss: float = 1e-9,
-    id_col: str = "doc_id", text_col: str = "text", carry: bool = False,
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept (and row).
-
-    ``component_id`` is the smallest id that links reach; one row of every component is kept.
-    """
+def _rows_and_groups(
+    docs: DataFrame, shingle: int, threshold: float, bands: int, rows: int, miss: float, id_col: str, text_col: str, carry: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Rows joined to the component of their set: everything of the rows but their text, and ``best`` (the row that stays)."""
     if bands % 6 or bands * rows > 1024:
         raise ValueError("bands is a multiple of 6, and bands * rows at most 1024")
     table = store.materialize(features(docs, shingle, bands, rows, id_col, text_col, carry), "features")
@@ -392,12 +388,32 @@ def near_groups(
     best = of.groupBy("component").agg(F.min("first").alias("best"))
     of = store.materialize(of.join(best, "component").select(F.col("fp1").alias("k1"), F.col("fp2").alias("k2"), F.col("n").alias("k3"), "best"), "groups")
     match = (F.col("fp1") == F.col("k1")) & (F.col("fp2") == F.col("k2")) & (F.col("n") == F.col("k3"))
-    out = table.join(of, match, "left")
+    return table, table.drop("row", "keys", "sig").join(of, match, "left")
+
+
+def near_groups(
+    docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, bands: int = 36, rows: int = 5, miss: float = 1e-9,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    ``component_id`` is the smallest id that links reach; one row of every component is kept.
+    """
+    _, out = _rows_and_groups(docs, shingle, threshold, bands, rows, miss, id_col, text_col, False)
     alone = F.col("best").isNull()
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"),
         (alone | (F.col("tag") == F.col("best.tag"))).alias("kept"),
-        *(["row"] if carry else []),
     )
+
+
+def keep_one(
+    docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, bands: int = 36, rows: int = 5, miss: float = 1e-9,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """One row of every component of ``docs``, with all its columns."""
+    table, out = _rows_and_groups(docs, shingle, threshold, bands, rows, miss, id_col, text_col, True)
+    dropped = out.where(F.col("best").isNotNull() & (F.col("tag") != F.col("best.tag"))).select("tag")
+    return store.without(table, dropped, "tag").select("row.*")

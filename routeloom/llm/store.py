@@ -10,11 +10,40 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _KEY = "spark.checkpoint.dir"
+#: Tables by the group that was open when they were written: (path, name in the session's catalogue or empty).
+_GROUPS: dict[str, list[tuple[str, str]]] = {}
+_OPEN: list[str] = []
+
+
+@contextmanager
+def group(name: str):
+    """Tables written inside belong to the group, so that :func:`release` can remove them together."""
+    _OPEN.append(name)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Remove the tables of a group.  Only for groups whose results have been written elsewhere."""
+    for path, table in _GROUPS.pop(name, []):
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _note(path: str, table: str = "") -> None:
+    if _OPEN:
+        _GROUPS.setdefault(_OPEN[-1], []).append((path, table))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +78,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a frame over the written files."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
+    _note(path)
     return spark.read.schema(_loose(df.schema)).parquet(path)
 
 
@@ -64,6 +94,7 @@ def materialize_bucketed(df: DataFrame, tag: str, n: int, key: str) -> DataFrame
         .bucketBy(n, key)
         .saveAsTable(name)
     )
+    _note(path, name)
     return spark.table(name)
 
 
@@ -73,3 +104,14 @@ def _loose(schema: T.StructType) -> T.StructType:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Up to so many row numbers (8 bytes each) go to every executor to drop their rows in place; beyond that the rows are joined.
+_BROADCAST_ROWS = 1_000_000
+
+
+def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``dropped`` (one column); the rows move only if many go."""
+    dropped = materialize(dropped, "dropped")
+    few = dropped.count() <= _BROADCAST_ROWS
+    return rows.join(F.broadcast(dropped) if few else dropped, key, "left_anti")

@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.llm import blocks as B
@@ -341,19 +341,19 @@ def _cut_block(n: int, window: int):
         )
         texts = pa.Array.from_buffers(pa.binary(), len(block.ids), [None, pa.py_buffer(kept_offs.tobytes()), pa.py_buffer(kept.tobytes())])
         yield pa.RecordBatch.from_arrays(
-            [block.doc_ids(), pa.array(block.tags), pa.array(np.diff(block.offs)), spans, texts], ["doc_id", "tag", "n_bytes", "spans", "kept"]
+            [block.doc_ids(), block.extra(), pa.array(np.diff(block.offs)), spans, texts], ["doc_id", "extra", "n_bytes", "spans", "kept"]
         )
 
-    return apply, "doc_id long, tag long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
+    return apply, "doc_id long, extra string, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
 
 
 def remove_repeats(
-    docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None
+    docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text", extra: Column | None = None
 ) -> DataFrame:
-    """One row per document: doc_id, tag (of ``tag_col``), n_bytes, spans (removed, maximal) and kept (the other bytes)."""
+    """One row per document: doc_id, extra (JSON that goes with the row), n_bytes, spans (removed, maximal) and kept (the other bytes)."""
     if not _ANCHOR < window <= 64:
         raise ValueError("window is 33 to 64 bytes")
-    table = B.make_blocks(docs, "texts", id_col, text_col, tag_col)
+    table = B.make_blocks(docs, "texts", id_col, text_col, extra)
     n = B.ranges(table, 8 << 20)
     sent = table.mapInArrow(_send_anchors(n, window), "part int, block long, keys binary, several binary")
     shared = store.materialize(sent.groupBy("part").applyInArrow(_shared, "block long, part int, bits binary"), "shared")
