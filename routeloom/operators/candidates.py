@@ -90,13 +90,19 @@ def with_candidates(points: DataFrame, edges: DataFrame, s: Settings = Settings(
     distance, along = _foot(F.col("px"), F.col("py"))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     share = F.when(F.col("piece_m") > 0, along / F.col("piece_m")).otherwise(0.0)
+    bearing = F.pmod(F.degrees(F.atan2(dx, dy)) + 360.0, F.lit(360.0))
+    bonus = F.create_map(*[F.lit(v) for kv in m.class_bonus.items() for v in kv])
+    score = -0.5 * F.pow(distance / max(1e-3, m.sigma_gps_m), 2) + F.coalesce(F.try_element_at(bonus, F.col("highway")), F.lit(0.0))
+    if m.heading_weight > 0:
+        turn = geo.angle_difference(F.col("point.bearing"), bearing)
+        score = score + F.coalesce(m.heading_weight * -0.5 * F.pow(turn / max(1e-3, m.sigma_heading_deg), 2), F.lit(0.0))
+    # all arithmetic is done per pair, in generated code; the arrays below are only sorted and cut
     found = F.struct(
-        "u", "v", "k", F.round(distance, 6).alias("near"), "piece", distance.alias("distance_m"),
-        "road_id", "road_name", "ref", "highway", "osmid",
-        F.pmod(F.degrees(F.atan2(dx, dy)) + 360.0, F.lit(360.0)).alias("road_bearing"),
+        "u", "v", "k", F.round(distance, 6).alias("near"), "piece", F.round(distance, 3).alias("rank"), distance.alias("distance_m"),
+        "road_id", "road_name", "ref", "highway", "osmid", bearing.alias("road_bearing"),
         F.when(F.col("index_length_m") > 0, (F.col("piece_from_m") + along) / F.col("index_length_m")).otherwise(0.0).alias("fraction"),
         (F.col("x1") + share * dx).alias("foot_x"), (F.col("y1") + share * dy).alias("foot_y"),
-        "route_length_m",
+        "route_length_m", score.alias("emission"),
     )
     hit = pairs.select("file_id", "idx", "epsg", "px", "py", "point", F.when(distance <= s.max_distance_m, found).alias("hit"))
     by_point = hit.groupBy("file_id", "idx").agg(
@@ -108,23 +114,6 @@ def with_candidates(points: DataFrame, edges: DataFrame, s: Settings = Settings(
     by_point = by_point.withColumn("hits", own_hits)
     inner = F.exists("hits", lambda h: h["distance_m"] <= s.candidate_radius_m)
     by_point = by_point.withColumn("hits", F.when(inner, F.filter("hits", lambda h: h["distance_m"] <= s.candidate_radius_m)).otherwise(F.col("hits")))
-    ranked = F.array_sort(F.transform("hits", lambda h: F.struct(
-        F.round(h["distance_m"], 3).alias("rank"), h["u"].alias("u"), h["v"].alias("v"), h["k"].alias("k"), h.alias("hit"))))
-    by_point = by_point.withColumn("hits", F.transform(F.slice(ranked, 1, m.max_candidates), lambda r: r["hit"]))
-    bonus = F.create_map(*[F.lit(v) for kv in m.class_bonus.items() for v in kv])
-
-    def score(h):
-        lateral = -0.5 * F.pow(h["distance_m"] / max(1e-3, m.sigma_gps_m), 2)
-        turn = geo.angle_difference(F.col("point.bearing"), h["road_bearing"])
-        heading = m.heading_weight * -0.5 * F.pow(turn / max(1e-3, m.sigma_heading_deg), 2) if m.heading_weight > 0 else F.lit(0.0)
-        return lateral + F.coalesce(heading, F.lit(0.0)) + F.coalesce(F.try_element_at(bonus, h["highway"]), F.lit(0.0))
-
-    def candidate(h):
-        kept = (
-            "u", "v", "k", "road_id", "road_name", "ref", "highway", "osmid", "distance_m", "road_bearing", "fraction", "route_length_m",
-            "foot_x", "foot_y",
-        )
-        return F.struct(*[h[c].alias(c) for c in kept], score(h).alias("emission"))
-
-    out = by_point.withColumn("candidates", F.transform("hits", candidate))
+    ranked = F.array_sort(F.transform("hits", lambda h: F.struct(h["rank"].alias("rank"), h["u"].alias("u"), h["v"].alias("v"), h["k"].alias("k"), h.alias("hit"))))
+    out = by_point.withColumn("candidates", F.transform(F.slice(ranked, 1, m.max_candidates), lambda r: r["hit"]))
     return out.select(*[F.col(f"point.{c}") for c in columns], "epsg", F.col("px").alias("x"), F.col("py").alias("y"), "candidates")

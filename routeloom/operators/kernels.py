@@ -6,6 +6,8 @@ These depend on what was kept before, which no window frame can say; they run on
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 
@@ -26,11 +28,14 @@ def distinct_points(lat: np.ndarray, lon: np.ndarray, t: np.ndarray, near_m: flo
     keep = np.zeros(len(lat), bool)
     unknown = np.iinfo(np.int64).min
     same_m = min(same_m, near_m)
+    phi, lam, when = np.radians(lat).tolist(), np.radians(lon).tolist(), t.tolist()
+    sin, cos, asin, sqrt = math.sin, math.cos, math.asin, math.sqrt
     last = -1
-    for i in range(len(lat)):
+    for i in range(len(phi)):
         if last >= 0:
-            d = float(haversine(lat[last], lon[last], lat[i], lon[i]))
-            if d <= (near_m if t[i] == t[last] and t[i] != unknown else same_m):
+            h = sin((phi[i] - phi[last]) / 2) ** 2 + cos(phi[last]) * cos(phi[i]) * sin((lam[i] - lam[last]) / 2) ** 2
+            d = 2 * _EARTH_M * asin(min(1.0, sqrt(h)))
+            if d <= (near_m if when[i] == when[last] and when[i] != unknown else same_m):
                 continue
         keep[i] = True
         last = i

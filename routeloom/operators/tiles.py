@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from routeloom.config import Settings
@@ -30,6 +31,18 @@ def tile_ranges(points: DataFrame, s: Settings = Settings()) -> DataFrame:
     return out.withColumn("epsg", geo.utm_epsg(mid("iy0", "iy1"), mid("ix0", "ix1")))
 
 
+def with_zone(points: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Points with epsg: the zone of the centre of their file's tiles, by a window over the file."""
+    whole = W.partitionBy("file_id")
+    box = [f(c).over(whole) for c in ("lat", "lon") for f in (F.min, F.max)]
+    own = points.drop("epsg").withColumns(dict(zip(("__a0", "__a1", "__o0", "__o1"), box, strict=True)))
+    e = _edges(s, *map(F.col, ("__a0", "__a1", "__o0", "__o1")))
+    step = s.tile_km / geo.DEGREE_KM
+    mid = lambda a, b: (a + b + 1) / 2 * step
+    own = own.withColumn("epsg", geo.utm_epsg(mid(e["iy0"], e["iy1"]), mid(e["ix0"], e["ix1"])))
+    return own.drop("__a0", "__a1", "__o0", "__o1")
+
+
 def tiles_of_tracks(points: DataFrame, s: Settings = Settings()) -> DataFrame:
     """file_id, ix, iy, tile_id and bounds of all tiles that each file needs."""
     out = tile_ranges(points, s).select("file_id", F.explode(F.sequence("ix0", "ix1")).alias("ix"), "iy0", "iy1")

@@ -26,7 +26,7 @@ class Analysis:
         return df.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else df
 
     def release(self) -> None:
-        for name in ("files", "cleaned", "simplified", "matched", "legs", "counts"):
+        for name in ("files", "cleaned", "simplified", "located", "matched", "legs", "counts"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 
@@ -49,9 +49,8 @@ class Analysis:
     @cached_property
     def located(self) -> DataFrame:
         """Simplified points with the zone of their file's tiles and road candidates."""
-        zone = tiles.tile_ranges(self.simplified, self.settings).select("file_id", "epsg")
-        points = self.simplified.drop("x", "y", "epsg").join(zone, "file_id")
-        return candidates.with_candidates(points, self.edges, self.settings)
+        points = tiles.with_zone(self.simplified.drop("x", "y"), self.settings)
+        return self._kept(candidates.with_candidates(points, self.edges, self.settings))
 
     @cached_property
     def matched(self) -> DataFrame:
