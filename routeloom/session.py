@@ -13,6 +13,8 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     """A session in UTC with adaptive execution; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName("routeloom").config("spark.sql.session.timeZone", "UTC")
     builder = builder.config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    # kernels cost far more per byte than scans: small partitions are still worth a core of their own
+    builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     if master:
         builder = builder.master(master)
     if partitions:

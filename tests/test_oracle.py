@@ -33,11 +33,20 @@ def _rows(columns, rows):
     return sorted([tuple(_plain(r[i]) for i in order) for r in rows], key=repr)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_analysis(spark):
+    """All queries share one analysis, whose frames are kept."""
+    make, shared = queries._analysis, {}
+    queries._analysis = lambda s, d: shared.setdefault(d, make(s, d))
+    yield
+    queries._analysis = make
+    spark.catalog.clearCache()
+
+
 @pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_query(spark, con, name):
     df = queries.queries()[name](spark, str(DATA))
     got = _rows(df.columns, df.collect())
-    spark.catalog.clearCache()
     rel = con.execute(oracle.oracle_sql()[name])
     columns = [d[0] for d in rel.description]
     assert sorted(columns) == sorted(df.columns)
