@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 #: Fixed value: how byte-level vocabularies split text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _MEMO = 1 << 19
+_SHORT = 64
 _NO_PARENT = 1 << 30
 
 
@@ -40,7 +41,7 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class _Memo(dict):
-    """Remembers at most ``_MEMO`` results; then it starts anew."""
+    """Remembers at most ``_MEMO`` results of short keys; then it starts anew."""
 
     def __init__(self, make):
         super().__init__()
@@ -49,7 +50,9 @@ class _Memo(dict):
     def __missing__(self, key):
         if len(self) >= _MEMO:
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= _SHORT:
+            self[key] = value
         return value
 
 

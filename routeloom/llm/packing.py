@@ -3,14 +3,15 @@
 Documents become token ids and one end id; longer ones are cut from the back into whole pieces, so only
 a document's first piece may be shorter.  Whole pieces fill a sequence each.  The others are dealt
 at random into shards of a few thousand, and on each shard several islands evolve a population of packings:
-crossover injects the well-filled bins of one parent into the other, drops the bins that hold a document twice,
-and best-fits the displaced documents, largest first.  Between epochs every island sends
+crossover injects the well-filled bins of one parent into the other and dissolves the bins that hold a document twice;
+displaced documents are best-fitted, largest first, and then exchanged with others where that fills
+a bin better.  Fewer and fuller bins win.  Between epochs every island sends
 its elite to the next one.  The bins that the best packing of a shard leaves open are emptied into
 a pool, which is dealt and packed again until it fits one shard, so what is left unfilled does not
 grow with the number of shards.
 
 Defined cases: a null or empty text is the end id alone; every row is a document, also when ids repeat or are null;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; a text of any length is encoded whole, also one run of blanks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,30 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.llm import store
-from routeloom.llm.bpe import SPLIT, codec
-
-_ENCODERS: dict[str, object] = {}
-
-
-def encoder(path: str):
-    """Function from a text to the ids of a byte-level BPE ``tokenizer.json`` (uint32 array).
-
-    The ids of such a file usually are merge ranks, which the tiktoken library takes; other
-    files go through this package's own codec.
-    """
-    if path not in _ENCODERS:
-        import tiktoken
-
-        own = codec(path)
-        ranks = {t: i for i, t in enumerate(own.token_bytes) if t and i not in set(own.added.values())}
-        merged = [r for _, r in sorted((i, own.halves[i][2]) for i in own.halves)]
-        if merged == sorted(merged) and all(len(t) > 1 or i < 256 for t, i in ranks.items()):
-            fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=own.added)
-            special = set(own.added)
-            _ENCODERS[path] = lambda text: fast.encode_to_numpy(text, allowed_special=special)
-        else:
-            _ENCODERS[path] = lambda text: own.encode(text).astype(np.uint32)
-    return _ENCODERS[path]
+from routeloom.llm.bpe import codec
 
 
 def cut_pieces(
@@ -56,7 +34,7 @@ def cut_pieces(
     names = ["doc_id", "piece", "start", "length", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocab)
+        encode = codec(vocab).encode
         end = np.array([end_id], "<u4")
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -87,9 +65,22 @@ class Packer:
     def __init__(self, sizes: np.ndarray, capacity: int, seed: int):
         self.sizes, self.capacity = sizes.astype(np.int64), capacity
         self.rng = np.random.default_rng(seed)
-        self.least = max(1, -(-int(self.sizes.sum()) // capacity))
+        self.least = self.bound()
         self.by_size = np.argsort(-self.sizes, kind="stable")
 
+    def bound(self) -> int:
+        """No packing has fewer bins: items that cannot share a bin, and what the others need beyond the room beside them."""
+        c = self.capacity
+        count = np.bincount(self.sizes, minlength=c + 1)
+        total = count * np.arange(len(count))
+        n_to, sum_to = np.cumsum(count), np.cumsum(total)
+        small = np.arange(0, c // 2 + 1)  # items below this size are left out
+        huge = n_to[-1] - n_to[c - small]
+        large = n_to[c - small] - n_to[c // 2]
+        room = large * c - (sum_to[c - small] - sum_to[c // 2])
+        middle = sum_to[c // 2] - np.where(small > 0, sum_to[small - 1], 0)
+        return max(1, int((huge + large + np.maximum(0, -((room - middle) // c))).max()))
+
     def best_fit(self, bins: np.ndarray, items: np.ndarray) -> np.ndarray:
         """Put ``items`` (in this order) into the fullest bin that takes them; ``bins`` has -1 for them."""
         placed = bins >= 0
@@ -121,64 +112,138 @@ class Packer:
                     mask |= 1 << r
         return out
 
+    def fullest(self, items: list[int]) -> list[int]:
+        """Items of the largest total that a bin takes, the largest items that give it (reachable totals are bits of one number)."""
+        sizes = self.sizes
+        items = sorted(items, key=lambda i: -sizes[i])
+        goal, limit = 1 << self.capacity, (1 << (self.capacity + 1)) - 1
+        reach, before = 1, []
+        for i in items:
+            before.append(reach)
+            reach |= (reach << int(sizes[i])) & limit
+            if reach & goal:
+                break
+        at, out = reach.bit_length() - 1, []
+        for k in range(len(before) - 1, -1, -1):
+            if not before[k] >> at & 1:
+                out.append(items[k])
+                at -= int(sizes[items[k]])
+        return out
+
+    def replace(self, bins: np.ndarray, free: np.ndarray, choices: int = 24) -> np.ndarray:
+        """Exchange items of open bins for displaced ones where that fills the bin better; the items that stay out, largest first."""
+        free = self.rng.permutation(free).tolist()
+        fill = np.bincount(bins[bins >= 0], self.sizes[bins >= 0])
+        open_bins = np.flatnonzero((fill > 0) & (fill < self.capacity))
+        members: dict[int, list[int]] = {int(b): [] for b in open_bins}
+        inside = np.flatnonzero(np.isin(bins, open_bins))
+        for i, b in zip(inside.tolist(), bins[inside].tolist(), strict=True):
+            members[b].append(i)
+        for b in self.rng.permutation(open_bins).tolist():
+            if not free:
+                break
+            offered, free = free[-choices:], free[:-choices]
+            own = members[b]
+            chosen = self.fullest(own + offered)
+            if self.sizes[chosen].sum() > fill[b]:
+                taken = set(chosen)
+                bins[own], bins[chosen] = -1, b
+                free = [i for i in own + offered if i not in taken] + free
+            else:
+                free = offered + free
+        return np.array(sorted(free, key=lambda i: (-self.sizes[i], i)), np.int64)
+
+    def settle(self, bins: np.ndarray, free: np.ndarray) -> np.ndarray:
+        """Places for displaced items: best fit, largest first; then the emptiest bins are dissolved, and their items
+        exchanged with items of other open bins, best-fitted, or put in new bins filled one by one, whichever ends best."""
+        used = bins >= 0
+        _, bins[used] = np.unique(bins[used], return_inverse=True)
+        bins = self.best_fit(bins, free[np.argsort(-self.sizes[free], kind="stable")])
+        f = self.fill(bins)
+        slack = int((self.capacity - f).sum())
+        order = np.argsort(f, kind="stable")
+        few = order[: max(2, int(np.searchsorted(np.cumsum(f[order]), 2 * slack)))][:256]
+        other = np.where(np.isin(bins, few), -1, bins)
+        left = np.flatnonzero(other < 0)
+        used = other >= 0
+        _, other[used] = np.unique(other[used], return_inverse=True)
+        left = self.replace(other, left)
+        n = int(other.max()) + 1 if used.any() else 0
+        filled = other.copy()
+        other = self.best_fit(other, left)
+        rest = left[other[left] >= n].tolist()
+        filled[left] = np.where(other[left] < n, other[left], -1)
+        while rest:
+            chosen = self.fullest([rest[0], *self.rng.permutation(rest[1:])[:48].tolist()])
+            filled[chosen] = n
+            taken, n = set(chosen), n + 1
+            rest = [i for i in rest if i not in taken]
+        return max(bins, other, filled, key=self.fitness)
+
     def fill(self, bins: np.ndarray) -> np.ndarray:
         return np.bincount(bins, self.sizes)
 
     def fitness(self, bins: np.ndarray) -> tuple[int, float]:
+        """Few bins first, then many full ones (and so a few with much room)."""
         f = self.fill(bins) / self.capacity
         n = int((f > 0).sum())
         return -n, float((f * f).sum() / max(1, n))
 
     def start(self, n: int) -> list[np.ndarray]:
-        empty = lambda: np.full(len(self.sizes), -1, np.int64)
-        out = [self.best_fit(empty(), self.by_size)]
+        """Best fits, largest first and then in random orders in which larger items tend to come first, each looser than the one before."""
+        out = []
         while len(out) < n and not self.done(out):
-            noisy = self.sizes * self.rng.uniform(0.8, 1.2, len(self.sizes))
-            out.append(self.best_fit(empty(), np.argsort(-noisy, kind="stable")))
+            loose = 0.05 * len(out)
+            noisy = self.sizes * self.rng.uniform(1 - loose, 1 + loose, len(self.sizes))
+            out.append(self.best_fit(np.full(len(self.sizes), -1, np.int64), np.argsort(-noisy, kind="stable")))
         return out
 
     def done(self, population: list[np.ndarray]) -> bool:
         return any(-self.fitness(b)[0] <= self.least for b in population)
 
     def cross(self, giver: np.ndarray, taker: np.ndarray) -> np.ndarray:
-        """Whole well-filled bins of ``giver`` go into ``taker``; what they displace is best-fitted."""
+        """Whole well-filled bins of ``giver`` go into ``taker``, whose bins that hold one of their items are
+        dissolved; what that displaces is settled."""
         f = self.fill(giver)
-        good = np.flatnonzero(f >= np.quantile(f[f > 0], 0.3))
+        good = np.flatnonzero(f >= np.quantile(f[f > 0], 0.5))
         chosen = np.zeros(len(f), bool)
-        chosen[self.rng.choice(good, max(1, len(good) // 2), replace=False)] = True
+        chosen[self.rng.choice(good, max(1, len(good) // 4), replace=False)] = True
         given = chosen[giver]
         broken = np.zeros(int(taker.max()) + 1, bool)
         broken[taker[given]] = True
         child = np.where(broken[taker], -1, taker)
-        displaced = (child < 0) & ~given
+        displaced = np.flatnonzero((child < 0) & ~given)
         child[given] = giver[given] + len(broken)
-        _, child[child >= 0] = np.unique(child[child >= 0], return_inverse=True)
-        return self.best_fit(child, self.by_size[displaced[self.by_size]])
+        return self.settle(child, displaced)
 
     def mutate(self, bins: np.ndarray) -> np.ndarray:
-        """Empty the worst bin and some others, and best-fit their items."""
+        """Dissolve the emptiest bins and some others, and settle their items."""
         f = self.fill(bins)
         real = np.flatnonzero(f > 0)
         gone = np.zeros(len(f), bool)
-        gone[real[np.argmin(f[real])]] = True
-        gone[self.rng.choice(real, max(1, len(real) // 20), replace=False)] = True
+        few = max(1, len(real) // 20)
+        gone[real[np.argsort(f[real], kind="stable")[:few]]] = True
+        gone[self.rng.choice(real, few, replace=False)] = True
         child = np.where(gone[bins], -1, bins)
-        free = child < 0
-        _, child[~free] = np.unique(child[~free], return_inverse=True)
-        return self.best_fit(child, self.by_size[free[self.by_size]])
+        return self.settle(child, np.flatnonzero(child < 0))
 
-    def evolve(self, population: list[np.ndarray], generations: int, size: int) -> list[np.ndarray]:
-        """Best first."""
-        ranked = sorted(population, key=self.fitness, reverse=True)
+    def evolve(self, population: list[np.ndarray], generations: int, size: int, patience: int = 12) -> list[np.ndarray]:
+        """Best first.  Parents win tournaments of two; the search ends at the bound, or when the best stays the same for ``patience`` children."""
+        ranked = sorted(((self.fitness(b), k, b) for k, b in enumerate(population)), key=lambda x: (x[0], -x[1]), reverse=True)
+        still, number = 0, len(ranked)
         for _ in range(generations):
-            if self.done(ranked[:1]) or len(self.sizes) < 2:
+            if -ranked[0][0][0] <= self.least or len(self.sizes) < 2 or still >= patience:
                 break
-            a, b = self.rng.integers(0, len(ranked), 2)
-            child = self.cross(ranked[min(a, b)], ranked[max(a, b)])
+            a, b = (int(self.rng.integers(0, len(ranked), 2).min()) for _ in range(2))
+            child = self.cross(ranked[a][2], ranked[b][2])
             if self.rng.random() < 0.5:
                 child = self.mutate(child)
-            ranked = sorted([*ranked, child], key=self.fitness, reverse=True)[:size]
-        return ranked
+            fit, best = self.fitness(child), ranked[0][0]
+            if all(fit != r[0] for r in ranked):  # equal fitness is nearly always the same packing
+                number += 1
+                ranked = sorted([*ranked, (fit, number, child)], key=lambda x: (x[0], -x[1]), reverse=True)[:size]
+            still = 0 if ranked[0][0] > best else still + 1
+        return [b for _, _, b in ranked]
 
 
 def _pack_shards(items: DataFrame, n_shards: int, capacity: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
@@ -235,8 +300,8 @@ def _pack_shards(items: DataFrame, n_shards: int, capacity: int, islands: int, e
 
 
 def pack(
-    pieces: DataFrame, *, capacity: int = 2048, shard: int = 4096, islands: int = 2, epochs: int = 2, population: int = 6,
-    generations: int = 10, open_below: float = 0.97, rounds: int = 4,
+    pieces: DataFrame, *, capacity: int = 2048, shard: int = 4096, islands: int = 2, epochs: int = 2, population: int = 8,
+    generations: int = 24, open_below: float = 0.97, rounds: int = 4,
 ) -> DataFrame:
     """``pieces`` (with a column ``length``) and for each row its sequence_id and offset."""
     tagged = store.materialize(pieces.withColumn("tag", F.monotonically_increasing_id()), "pieces")

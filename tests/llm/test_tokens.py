@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from routeloom.llm import bpe, chat_format, packing, queries
 
@@ -80,6 +82,33 @@ def test_pieces_and_packing(spark):
     assert packing.pack(packing.cut_pieces(docs(spark, []), VOCAB)).count() == 0
 
 
+def test_pieces_as_the_library(spark, library):
+    """Ids, places and checksums of whole texts, a million blanks, line ends and letters among them."""
+    rows = [*SPECIAL, (6, " " * 1_000_000, "x"), (7, "\n" * 1_000_000, "x"), (8, "a" * 1_000_000, "x"), (9, "x \n\n y<|endoftext|> é漢", "x")]
+    got = packing.cut_pieces(docs(spark, rows), VOCAB).withColumn("crc", F.crc32("ids")).drop("ids").collect()
+    own: dict = {}
+    for r in got:
+        own.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["crc"]))
+    for i, text, _ in rows:
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        first = (len(ids) - 1) % 2048 + 1
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        want = [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(itertools.pairwise(cuts))]
+        assert sorted(set(own[i])) == want, i
+
+
+def test_search_beats_best_fit():
+    """Fewer bins than largest-first best fit wherever that is above the bound, and none below the bound."""
+    rng = np.random.default_rng(0)
+    shards = [rng.integers(200, 1000, 1000), rng.integers(400, 900, 500), rng.integers(520, 1000, 600), np.minimum(2047, rng.lognormal(6.2, 0.8, 1000).astype(int) + 1)]
+    for sizes in shards:
+        p = packing.Packer(sizes, 2048, 1)
+        plain = -p.fitness(p.best_fit(np.full(len(sizes), -1, np.int64), p.by_size))[0]
+        found = p.evolve(p.start(8), 24, 8)[0]
+        assert p.fill(found).max() <= 2048 and (found >= 0).all()
+        assert p.least <= -p.fitness(found)[0] and (-p.fitness(found)[0] < plain or plain == p.least)
+
+
 def test_packing_is_nearly_full(spark):
     rnd = random.Random(1)
     sizes = [(i, rnd.choice([rnd.randint(1, 100), rnd.randint(100, 999)])) for i in range(3000)]
