@@ -1,12 +1,14 @@
 """Vectorised passes over the UTF-8 bytes of many texts at once (numpy only).
 
 A *slab* is a run of whole texts: their bytes end to end and the offsets of the texts.
-Hashes are polynomial with an odd base modulo 2**64 over a table of random 64-bit
-values, so the hash of any span comes from two prefix sums.
+Spans (words, lines) get a 128-bit digest as two 64-bit numbers: 8 bytes a step are mixed into both, and spans
+beyond half a KB go through BLAKE2b.  :func:`classes` calls rows equal only if all their numbers are.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,25 +17,15 @@ import pyarrow as pa
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes that start a code point.
 LEAD = (np.arange(256) & 0xC0) != 0x80
-_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        n = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, U(base))
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=U)
-    return _POWERS
+_ONE, _TWO = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+_LONG = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,17 +52,40 @@ def slabs(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
-class Spans:
-    """Hashes of spans of a slab's bytes."""
-
-    def __init__(self, data: np.ndarray):
-        powers = _powers(len(data) + 1)
-        self.back = powers[1]
-        self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(TABLE[data] * powers[0][: len(data)], out=self.sums[1:])
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(U))
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of every span of the bytes (no span is empty)."""
+    left = ends - starts
+    one, two = left.astype(U) * _ONE + U(1), left.astype(U) * _TWO + U(2)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    for i in np.flatnonzero(left > _LONG).tolist():
+        d = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=16).digest()
+        one[i], two[i] = (U(int.from_bytes(d[k : k + 8], "little")) for k in (0, 8))
+    live = np.flatnonzero(left <= _LONG)
+    at, left = starts[live], left[live]
+    while len(live):
+        lane = eight[at].view(U).ravel() & _LOW_BYTES[np.minimum(left, 8)]
+        one[live] = mix((one[live] ^ lane) * _ONE)
+        two[live] = mix((two[live] + lane) * _TWO + U(5))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return one, two
+
+
+def classes(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each class, and the class of each row: rows are of one class when they agree in all parts.
+
+    Classes are in order of the first part, if that tells them all apart.
+    """
+    _, first, which = np.unique(parts[0], return_index=True, return_inverse=True)
+    if all((p == p[first][which]).all() for p in parts[1:]):
+        return first, which
+    order = np.lexsort(parts[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([p[order[1:]] != p[order[:-1]] for p in parts])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,17 +100,6 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """Marks the keys that occur twice or more."""
-    out = np.zeros(len(keys), bool)
-    if len(keys) > 1:
-        order = np.argsort(keys)
-        same = keys[order[1:]] == keys[order[:-1]]
-        out[order[1:][same]] = True
-        out[order[:-1][same]] = True
-    return out
-
-
 def with_doc(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Keys that differ between texts."""
     return mix(keys + doc.astype(U) * U(0xD6E8FEB86659FD93) + U(1))

@@ -2,15 +2,21 @@
 
 1. Every text becomes its set of distinct word shingles (64-bit hashes), a MinHash signature of ``bands * rows`` values and
    ``bands`` keys of ``rows`` values each.  Texts with equal sets become one node.
-2. Nodes that share a band key are candidates.  First every node of a bucket is compared with one node of it only, the
-   one that meets most others anywhere.  Verified pairs are links, and links make components.
-3. Then the pairs of a bucket that are not in one component yet are compared, in tiles of the families that such buckets
-   form; tiles give out links only.  A bucket whose nodes all meet in one component has no such pair, so a large
-   group of copies costs one comparison a copy and bucket, and still no pair that shares a bucket is passed over.
+2. Nodes that share a band key are candidates.  First every node of a bucket is compared with one node of it only, its
+   lead, the one that meets most others anywhere.  Verified pairs are links, and links make components.
+3. Without their leads, whose pairs are decided, some buckets still hold several components.  Their pairs across
+   components are compared in tiles: a bucket goes to the component that has most of it, that component's nodes meet the
+   others of its buckets, and the others meet each other.  Tiles give out links only.  A bucket whose nodes all meet in
+   one component has no such pair, so a large group of copies costs one comparison a copy and bucket, and still no pair
+   that shares a bucket is passed over.
 4. Verification looks at signatures in batches.  After each batch a pair is dropped when the posterior probability
    (uniform prior) that its similarity reaches the threshold is below ``miss``; the others are confirmed on
    the full sets: 100 * intersection >= 100 * threshold * union.
 
+A bucket, a text or a lead that a third of all rows share is dealt by key and salt (:func:`attach`): what is known about the key goes
+only to the salts that its rows have, so no task gets all rows of a key.  Shingles are told apart by 64-bit hashes made from 128-bit
+digests of their words: two different ones of a pair of texts of n shingles coincide with probability n**2 / 2**64.
+
 At 36 bands of 5 rows a pair at similarity 0.8 shares no band with probability 7e-7, and one at 0.9 with 1e-14.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; a text of fewer words
@@ -26,7 +32,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from routeloom.llm import kernels as K
@@ -35,6 +42,8 @@ from routeloom.llm import store
 _RNG = np.random.Generator(np.random.PCG64(99))
 _FLIP = _RNG.integers(0, 1 << 32, 1024, dtype=np.uint64).astype(np.uint32)
 _ODD = (_RNG.integers(0, 1 << 32, 1024, dtype=np.uint64) | 1).astype(np.uint32)
+#: Rows of one key are spread over so many salts.
+_SALTS = 256
 #: Up to so many candidate nodes are sent to all executors to pick their texts (8 bytes each); beyond that the texts are joined.
 _BROADCAST_NODES = 500_000
 
@@ -43,7 +52,8 @@ def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np
     """(text number, hash) of the distinct shingles of a slab, in order."""
     low = K.FOLD[data]
     starts, ends, doc = K.words(low, offs)
-    h = K.Spans(low)(starts, ends)
+    one, two = K.digests(low, starts, ends)
+    h = K.mix(one ^ K.mix(two + K.U(9)))
     count = np.bincount(doc, minlength=len(offs) - 1)
     total = np.zeros(len(h), K.U)
     short = np.zeros(len(h), bool)
@@ -141,6 +151,17 @@ def features(docs: DataFrame, k: int, bands: int, rows: int, id_col: str, text_c
 _BIG = K.U(0x9E3779B97F4A7C15)
 
 
+def salt(dice: str = "node") -> Column:
+    return F.pmod(F.xxhash64(dice), F.lit(_SALTS)).cast("int")
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, dice: str = "node", how: str = "inner") -> DataFrame:
+    """Join on a ``key`` that is unique in ``facts`` and may be very common in ``rows``."""
+    salted = rows.withColumn("__salt", salt(dice))
+    present = salted.select(key, "__salt").distinct().join(facts, key)
+    return salted.join(present, [key, "__salt"], how).drop("__salt")
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, bands: int, rows: int, threshold: float, miss: float) -> DataFrame:
     """Candidate pairs (a, b) that signatures do not rule out."""
     least = least_matches(rows * 6, bands // 6, threshold, miss)
@@ -156,7 +177,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, bands: int, rows: int, threshold
 
     left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
-    joined = pairs.join(left, "a").join(right, "b")
+    joined = attach(pairs.join(left, "a"), right, "b", "a")
     sized = joined.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
@@ -202,7 +223,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
 
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return attach(pairs.join(left, "a"), right, "b", "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -217,14 +238,15 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = store.materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("name")), "near")
         jump = near.select(F.col("u").alias("name"), F.col("name").alias("root"))
-        step = store.materialize(near.join(jump, "name").select("u", "root"), "names")
+        step = store.materialize(attach(near, jump, "name", "u").select("u", "root"), "names")
         if labels is None:
             labels = step.select(F.col("u").alias("node"), F.col("root").alias("component"))
         else:
             moved = step.select(F.col("u").alias("component"), "root")
-            labels = labels.join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+            labels = attach(labels, moved, "component", "node", "left").select("node", F.coalesce("root", "component").alias("component"))
             labels = store.materialize(labels, "labels")
-        left = edges.join(step.select("u", F.col("root").alias("x")), "u").join(step.select(F.col("u").alias("v"), F.col("root").alias("y")), "v")
+        left = attach(edges, step.select("u", F.col("root").alias("x")), "u", "v")
+        left = attach(left, step.select(F.col("u").alias("v"), F.col("root").alias("y")), "v", "u")
         left = left.where("x != y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
         edges = store.materialize(left, "links")
         if edges.isEmpty():
@@ -232,27 +254,31 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _members(slots: DataFrame) -> DataFrame:
-    """(key, node, place, size): buckets of two nodes or more, each bucket's nodes in one global order.
+    """(key, node, lead): buckets of two nodes or more, and the bucket's node that meets most others in any bucket.
 
-    Nodes that meet many others come first: the original of a family of copies meets more of it than any copy does.
+    The original of a family of copies meets more of it than any copy does.
     """
-    sizes = store.materialize(slots.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-    own = store.materialize(slots.join(sizes, "key"), "met")
-    rank = own.groupBy("node").agg(F.struct(-F.sum("size"), F.col("node")).alias("rank"))
-    return store.materialize(own.join(rank, "node"), "members")
+    slots = slots.withColumn("salt", salt())
+    part = slots.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("size"))
+    whole = part.groupBy("key").agg(F.sum("size").alias("size"), F.collect_list("salt").alias("salts")).where("size > 1")
+    met = slots.join(whole.select("key", "size", F.explode("salts").alias("salt")), ["key", "salt"])
+    met = met.select("key", "node", F.struct(-F.sum("size").over(W.partitionBy("node")), "node").alias("rank"))
+    met = store.materialize(met, "met")
+    leads = met.groupBy("key").agg(F.min_by("node", "rank").alias("lead"))
+    return store.materialize(attach(met.select("key", "node"), leads, "key"), "members")
 
 
 def _first_pairs(member: DataFrame) -> DataFrame:
-    """Every node of a bucket against the bucket's first."""
-    lead = member.groupBy("key").agg(F.min_by("node", "rank").alias("lead"))
-    return member.join(lead, "key").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    """Every node of a bucket against the bucket's lead."""
+    return member.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
 
 
 def _mixed(member: DataFrame, names: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, with their component."""
-    placed = member.join(names, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return placed.join(keys.select("key"), "key", "left_semi")
+    """(key, node, component, main): members but leads of buckets that hold more than one component; ``main`` has most of the bucket."""
+    placed = member.where("node != lead").join(names, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    keys = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    return attach(placed, keys.where("parts > 1").select("key", "main"), "key")
 
 
 def _compare(x: np.ndarray, y: np.ndarray, sig: np.ndarray, least: list[int], step: int) -> np.ndarray:
@@ -317,24 +343,18 @@ def _family_links(least: list[int], step: int, width: int, percent: int):
 def _rest(mixed: DataFrame, facts: DataFrame, sets: DataFrame, bands: int, rows: int, threshold: float, miss: float) -> DataFrame:
     """Links between components that share a bucket.
 
-    Nodes that share mixed buckets, directly or through others, are a family.  Nothing leaves a family but links: the nodes outside
-    its largest component meet all its nodes in tiles of at most ``2 * _TILE`` nodes, each tile one task's group,
+    All buckets of one main component are a family.  Nothing leaves a family but links: the nodes outside the
+    main component meet all nodes of the family in tiles of at most ``2 * _TILE`` nodes, each tile one task's group,
     however large the family is.
     """
-    lead = mixed.groupBy("key").agg(F.min("node").alias("lead"))
-    stars = mixed.join(lead, "key").where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    family = components(stars).withColumnRenamed("component", "family")
-    own = mixed.groupBy("node").agg(F.any_value("component").alias("component"), F.collect_list("key").alias("keys")).join(family, "node")
-    own = store.materialize(own.join(facts.select("node", "n"), "node"), "families")
+    own = mixed.groupBy("main", "node").agg(F.any_value("component").alias("component"), F.collect_list("key").alias("keys"))
+    own = store.materialize(own.join(facts.select("node", "n"), "node").withColumnRenamed("main", "family"), "families")
     # weight of a node: a tile holds at most about _TILE nodes and _TILE_SHINGLES shingles of either side
     weight = F.greatest(F.lit(1.0), F.col("n") * (_TILE / _TILE_SHINGLES))
-    counts = own.groupBy("family", "component").agg(F.sum(weight).alias("w"))
-    sizes = counts.groupBy("family").agg(
-        F.max_by("component", F.struct("w", "component")).alias("main"), F.max("w").alias("inside"), (F.sum("w") - F.max("w")).alias("outside")
-    )
-    own = own.join(sizes, "family")
+    main, dice = F.col("component") == F.col("family"), F.xxhash64("node")
+    sizes = own.groupBy("family").agg(F.sum(F.when(main, weight).otherwise(0)).alias("inside"), F.sum(F.when(main, 0).otherwise(weight)).alias("outside"))
+    own = attach(own, sizes, "family")
     tiles = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / _TILE).cast("int"))
-    main, dice = F.col("component") == F.col("main"), F.xxhash64("node")
     own = own.select(
         "family", "node", "component", "keys", main.alias("main"), tiles("outside").alias("rows"), tiles("inside").alias("columns"),
         F.pmod(dice, F.when(main, tiles("inside")).otherwise(tiles("outside"))).cast("int").alias("tile"),
@@ -366,7 +386,9 @@ def _rows_and_groups(
         raise ValueError("bands is a multiple of 6, and bands * rows at most 1024")
     table = store.materialize(features(docs, shingle, bands, rows, id_col, text_col, carry), "features")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tag")
-    nodes = table.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min(order).alias("first"))
+    # copies of one text meet by text and salt first; later the answer goes back to those salts
+    parts = table.where("n > 0").groupBy("fp1", "fp2", "n", salt("tag").alias("salt")).agg(F.min(order).alias("first"))
+    nodes = parts.groupBy("fp1", "fp2", "n").agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts"))
     nodes = store.materialize(nodes, "nodes").withColumn("node", F.col("first.tag"))
     sketch = table.select(F.col("tag").alias("node"), "keys", "sig").join(nodes.select("node", "n"), "node")
     sketch = store.materialize(sketch, "sketches")
@@ -384,10 +406,12 @@ def _rows_and_groups(
         sets = store.materialize(_sets(docs, nodes, mixed.select("node").distinct(), shingle, id_col, text_col), "full")
         links = links.union(store.materialize(_rest(mixed, facts, sets, bands, rows, threshold, miss), "rest"))
         names = components(links)
-    of = nodes.join(names, "node", "left").select("node", "fp1", "fp2", "n", "first", F.coalesce("component", "node").alias("component"))
+    of = nodes.join(names, "node", "left").select("node", "fp1", "fp2", "n", "first", "salts", F.coalesce("component", "node").alias("component"))
     best = of.groupBy("component").agg(F.min("first").alias("best"))
-    of = store.materialize(of.join(best, "component").select(F.col("fp1").alias("k1"), F.col("fp2").alias("k2"), F.col("n").alias("k3"), "best"), "groups")
-    match = (F.col("fp1") == F.col("k1")) & (F.col("fp2") == F.col("k2")) & (F.col("n") == F.col("k3"))
+    of = attach(of, best, "component")
+    of = of.select(F.col("fp1").alias("k1"), F.col("fp2").alias("k2"), F.col("n").alias("k3"), F.explode("salts").alias("k4"), "best")
+    of = store.materialize(of, "groups")
+    match = (F.col("fp1") == F.col("k1")) & (F.col("fp2") == F.col("k2")) & (F.col("n") == F.col("k3")) & (salt("tag") == F.col("k4"))
     return table, table.drop("row", "keys", "sig").join(of, match, "left")
 
 

@@ -48,14 +48,14 @@ def features(data: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarray,
         f.append(slot[inside])
     starts, ends, doc = K.words(data, offs)
     if len(starts):
-        h = K.Spans(data)(starts, ends)
+        one, two = K.digests(data, starts, ends)
         upper = np.concatenate(([0], np.cumsum(_KIND[data] == 1)))
         shape = _KIND[data[starts]] * 6 + _KIND[data[ends - 1]]
         shape = shape * 6 + _KIND[data[np.maximum(ends - 2, starts)]]
         shape = shape * 2 + (upper[ends] - upper[starts] > 1)
         shape = shape * 4 + np.minimum(3, (ends - starts) // 4)
-        same = np.zeros(len(h), np.int64)
-        same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+        same = np.zeros(len(doc), np.int64)
+        same[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1]) & (doc[1:] == doc[:-1])
         shape = (shape * 2 + same).astype(K.U)
         top = K.U(64 - bits)
         d.append(doc)

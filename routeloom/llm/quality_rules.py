@@ -88,7 +88,6 @@ def measure(data: np.ndarray, offs: np.ndarray, vocab: str) -> dict[str, np.ndar
     """Counts and fertility measures of each text of a slab."""
     n = len(offs) - 1
     starts, ends, doc = K.words(data, offs)
-    spans = K.Spans(data)
     per = lambda d, w=None: np.bincount(d, w, n)
     leads = np.concatenate(([0], np.cumsum(K.LEAD[data])))
     chars = leads[ends] - leads[starts]
@@ -104,25 +103,26 @@ def measure(data: np.ndarray, offs: np.ndarray, vocab: str) -> dict[str, np.ndar
     l_end = np.append(l_start[1:], offs[-1])
     l_end = l_end - ((l_end > l_start) & np.append(line_end, False)[np.maximum(l_end - 1, 0)])
     worded = np.searchsorted(starts, l_end) > np.searchsorted(starts, l_start)
-    keys = K.with_doc(spans(l_start[worded], l_end[worded]), l_doc[worded])
-    first = np.zeros(len(keys), bool)
-    first[np.unique(keys, return_index=True)[1]] = True
-    out["n_dup_lines"] = per(l_doc[worded][~first])
-
-    h = spans(starts, ends)
-    covered = np.zeros(len(h), bool)
-    if len(h) > 2:
-        inside = doc[2:] == doc[:-2]
-        grams = h[:-2] * K.U(0x9E3779B97F4A7C15) + h[1:-1] * K.U(0xC2B2AE3D27D4EB4F) + h[2:] * K.U(0x165667B19E3779F9)
-        at = np.flatnonzero(inside)
-        hit = at[K.repeated(K.with_doc(grams[at], doc[at]))]
+    l_doc = l_doc[worded]
+    one, two = K.digests(data, l_start[worded], l_end[worded])
+    first = np.zeros(len(l_doc), bool)
+    first[K.classes(K.with_doc(one, l_doc), two, l_doc)[0]] = True
+    out["n_dup_lines"] = per(l_doc[~first])
+
+    where, which = K.classes(*K.digests(data, starts, ends))
+    covered = np.zeros(len(doc), bool)
+    if len(doc) > 2:
+        at = np.flatnonzero(doc[2:] == doc[:-2])
+        window = [which[at + k] for k in range(3)]
+        key = K.mix(K.mix(K.mix(window[0].astype(K.U) + K.U(1)) + window[1].astype(K.U)) + window[2].astype(K.U))
+        _, group = K.classes(K.with_doc(key, doc[at]), *window, doc[at])
+        hit = at[np.bincount(group)[group] > 1]
         for k in range(3):
             covered[hit + k] = True
     out["n_repeat_words"] = per(doc[covered])
 
     # fertility: every distinct word is encoded once
     sp, is_byte = _pieces(vocab)
-    _, where, which = np.unique(h, return_index=True, return_inverse=True)
     raw = data.tobytes()
     distinct = zip(starts[where].tolist(), ends[where].tolist(), strict=True)
     ids = sp.encode([raw[a:b].decode("utf-8", "replace") for a, b in distinct], num_threads=1) if len(where) else []

@@ -180,6 +180,23 @@ def test_near_special_rows(spark):
     assert near_dedup.near_groups(frame(spark, [])).count() == 0
 
 
+def thue_morse(n):
+    """Two different words of n bytes that any polynomial hash modulo 2**64 takes for one (n at least 1024)."""
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_near_long_words(spark):
+    """Texts that differ only in words of equal polynomial hash are not linked; a very long text is whole."""
+    x, y = thue_morse(1024)
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, f"one {x} two"), (2, f"one {y} two"), (3, long), (4, long + " tail"), (5, " " * 1_000_000)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(frame(spark, rows), shingle=2).collect()}
+    assert got == {1: (2, 1), 2: (2, 2), 3: (199_999, 3), 4: (200_000, 3), 5: (0, 5)}
+
+
 def test_pruning_bound():
     from math import comb
 
