@@ -6,12 +6,14 @@ shapes (case, digits, symbols at either end, length, and whether the word before
 scaled vector has length 1.  A hinge-loss model is fitted by dual coordinate descent, and a sigmoid fitted on
 margins of rows that the fold's model has not seen turns margins into scores.
 
-Bound: at most about ``sample`` labelled rows of at most ``max_bytes`` bytes are learned from, chosen by a hash of the id over all labelled rows.
-Every text is scored whole.
+Bound: about ``sample`` labelled rows are learned from, chosen by a hash of the id over all labelled rows, each with its whole
+text.  A row's features are a list of slots or, if that is shorter, a bitmap of all slots, so learning takes at most
+``sample * 2**bits / 8`` bytes (288 MB), however long the texts are.  Every text is scored whole.
 
 Defined cases: null and empty texts have no feature and get the score of a zero vector; null labels are not
 learned from; an id labelled several times counts with its largest label; with one
-class or no row to learn from all scores are that class's share (0.5 without rows); other columns are ignored.
+class or no row to learn from all scores are that class's share (0.5 without rows); a very long text is one row like any other;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,28 +75,63 @@ def features(data: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarray,
     return key >> bits, key & ((1 << bits) - 1)
 
 
-def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, bits: int, smooth: float = 1.0) -> np.ndarray:
+def packed(slots: np.ndarray, bits: int) -> bytes:
+    """Distinct slots as a list of 32-bit numbers or as a bitmap, whichever is shorter."""
+    if 32 * len(slots) < 1 << bits:
+        return slots.astype(np.int32).tobytes()
+    marks = np.zeros(1 << bits, bool)
+    marks[slots] = True
+    return b"\0" + np.packbits(marks).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    if len(raw) % 4:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=1)))
+    return np.frombuffer(raw, np.int32).astype(np.int64)
+
+
+class Rows:
+    """Packed feature rows, opened one at a time."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw = raw
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return unpacked(self.raw[i])
+
+    def of(self, which: np.ndarray) -> Rows:
+        return Rows([self.raw[i] for i in which])
+
+
+def log_count_ratio(rows: Rows, y: np.ndarray, bits: int, smooth: float = 1.0) -> np.ndarray:
     out = []
     for label in (1, -1):
-        c = np.bincount(np.concatenate([np.zeros(0, np.int64), *[r for r, t in zip(rows, y, strict=True) if t == label]]), minlength=1 << bits) + smooth
+        c = np.full(1 << bits, smooth)
+        for i in np.flatnonzero(y == label).tolist():
+            c[rows[i]] += 1  # a row's slots are distinct
         out.append(np.log(c / c.sum()))
     return out[0] - out[1]
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float, epochs: int) -> tuple[np.ndarray, float]:
+def _scaled(row: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    v = ratio[row]
+    return v / max(1e-12, float(np.sqrt((v * v).sum())))
+
+
+def descend(rows: Rows, y: np.ndarray, ratio: np.ndarray, cost: float, epochs: int) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss; classes weigh the same in total."""
     w, b = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(rows))
     share = {1: max(1, int((y > 0).sum())), -1: max(1, int((y < 0).sum()))}
     most = np.array([cost * len(y) / (2 * share[t]) for t in y])
-    values = []
-    for r in rows:
-        v = ratio[r]
-        values.append(v / max(1e-12, float(np.sqrt((v * v).sum()))))
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = _scaled(r, ratio)
             gradient = y[i] * (float(v @ w[r]) + b) - 1
             new = min(max(alpha[i] - gradient / 2.0, 0.0), most[i])  # the squared length with the constant is 2
             if new != alpha[i]:
@@ -105,8 +142,8 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: floa
     return w, b
 
 
-def margins(rows: list[np.ndarray], ratio: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
-    return np.array([float(ratio[r] @ w[r]) / max(1e-12, float(np.sqrt((ratio[r] ** 2).sum()))) + b for r in rows])
+def margins(rows: Rows, ratio: np.ndarray, w: np.ndarray, b: float) -> np.ndarray:
+    return np.array([float(_scaled(rows[i], ratio) @ w[rows[i]]) + b for i in range(len(rows))])
 
 
 def sigmoid_fit(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -126,7 +163,7 @@ def sigmoid_fit(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(c)
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, bits: int, cost: float = 1.0, epochs: int = 8):
+def train(rows: Rows, labels: np.ndarray, bits: int, cost: float = 1.0, epochs: int = 8):
     """(ratio, w, b, slope, intercept)."""
     y = np.where(labels > 0, 1, -1)
     if len(set(y.tolist())) < 2:
@@ -139,37 +176,36 @@ def train(rows: list[np.ndarray], labels: np.ndarray, bits: int, cost: float = 1
         seen, rest = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(set(y[seen].tolist())) < 2:
             continue
-        own = [rows[i] for i in seen]
+        own = rows.of(seen)
         ratio = log_count_ratio(own, y[seen], bits)
-        m[rest] = margins([rows[i] for i in rest], ratio, *descend(own, y[seen], ratio, cost, epochs))
+        m[rest] = margins(rows.of(rest), ratio, *descend(own, y[seen], ratio, cost, epochs))
     a, c = sigmoid_fit(m, y)
     ratio = log_count_ratio(rows, y, bits)
     w, b = descend(rows, y, ratio, cost, epochs)
     return ratio, w, b, a, c
 
 
-def fit(docs: DataFrame, labels: DataFrame, split: Column, *, sample: int = 9000, bits: int = 18, max_bytes: int = 1 << 20):
+def fit(docs: DataFrame, labels: DataFrame, split: Column, *, sample: int = 9000, bits: int = 18):
     """Learn ``labels.label`` of the rows for which ``split`` (over doc_id) holds."""
     known = labels.where(split & F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     total = known.count()
     dice = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     few = known.where(dice < min(1.0, sample / max(1, total))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(few), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in K.slabs(batch.column(1)):
                 doc, slot = features(data, offs, bits)
-                own = np.split(slot.astype(np.int32), np.searchsorted(doc, np.arange(1, hi - lo)))
+                own = np.split(slot, np.searchsorted(doc, np.arange(1, hi - lo)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([x.tobytes() for x in own], pa.binary())],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([packed(x, bits) for x in own], pa.binary())],
                     ["doc_id", "label", "slots"],
                 )
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("slots", "ascending")])
-        own = [np.frombuffer(x, np.int32).astype(np.int64) for x in table["slots"].to_pylist()]
-        ratio, w, b, a, c = train(own, table["label"].to_numpy(), bits)
+        ratio, w, b, a, c = train(Rows(table["slots"].to_pylist()), table["label"].to_numpy(), bits)
         return pa.table({"ratio": pa.array([pack(ratio)], pa.binary()), "w": pa.array([pack(w)], pa.binary()), "b": [b], "a": [a], "c": [c]})
 
     kind = dict(docs.dtypes)["doc_id"]

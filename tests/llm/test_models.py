@@ -101,7 +101,7 @@ def test_features_are_sets():
 
 def test_svm_is_at_the_dual_optimum():
     """On a separable toy set the margin is one for support vectors, and one class or no row has a defined score."""
-    rows = [np.array([0, 2]), np.array([0, 3]), np.array([1, 2]), np.array([1, 3])]
+    rows = quality_classifier.Rows([quality_classifier.packed(np.array(r), 4) for r in ([0, 2], [0, 3], [1, 2], [1, 3])])
     y = np.array([1, 1, -1, -1])
     w, b = quality_classifier.descend(rows, y, np.ones(4), 100.0, 300)
     m = quality_classifier.margins(rows, np.ones(4), w, b)
@@ -110,6 +110,54 @@ def test_svm_is_at_the_dual_optimum():
     assert one[3] == 0.0 and one[4] > 5
 
 
+def test_feature_rows_of_any_length():
+    for slots in (np.zeros(0, np.int64), np.array([3]), np.arange(0, 1 << 10, 2), np.arange(1 << 10)):
+        raw = quality_classifier.packed(slots, 10)
+        assert quality_classifier.unpacked(raw).tolist() == slots.tolist() and len(raw) <= (1 << 10) // 8 + 1
+
+
+def brute_features(text, bits):
+    """Byte trigrams and word shapes of one text, spelled out."""
+    from routeloom.llm import kernels as K
+
+    raw, out = text.encode(), set()
+    for i in range(len(raw) - 2):
+        out.add((int.from_bytes(raw[i : i + 3], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits))
+    kind, before, last = quality_classifier._KIND, None, None
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", raw):
+        x = kind[w[0]] * 6 + kind[w[-1]]
+        x = (x * 6 + kind[w[max(len(w) - 2, 0)]]) * 2 + (sum(65 <= c <= 90 for c in w) > 1)
+        x = int((x * 4 + min(3, len(w) // 4)) * 2 + (w == last))
+        mixed = lambda v: int(K.mix(np.array([v % (1 << 64)], np.uint64))[0]) >> (64 - bits)
+        out.add(mixed(x + (1 << 40)))
+        if before is not None:
+            out.add(mixed((x << 20) + before + (1 << 50)))
+        before, last = x, w
+    return out
+
+
+def test_classifier_against_a_plain_version(spark):
+    """Scores of the operator are those of features, ratios and margins computed one by one."""
+    rnd = random.Random(6)
+    good, bad = ["calm", "River", "stone", "walks", "quiet,"], ["BUY", "now!!", "$$$", "click", "1000"]
+    texts = [" ".join(rnd.choice(good if i % 3 else bad + good[:2]) for _ in range(rnd.randint(1, 30))) for i in range(60)]
+    texts += ["calm " * 200_000, "Ünï çödé 漢字"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, label int")
+    ratio, w, b, a, c = model = quality_classifier.fit(df, labels, F.lit(True))
+    got = {r["doc_id"]: r for r in quality_classifier.score(df, model).collect()}
+    sets = [sorted(brute_features(t, 18)) for t in texts]
+    counts = {y: Counter(s for i in range(60) if int(i % 3 > 0) == y for s in sets[i]) for y in (0, 1)}
+    size = {y: sum(k.values()) + (1 << 18) for y, k in counts.items()}
+    for s in sets[0][:20]:
+        want = math.log((counts[1][s] + 1) / size[1]) - math.log((counts[0][s] + 1) / size[0])
+        assert abs(ratio[s] - want) < 1e-9
+    for i, own in enumerate(sets):
+        m = sum(ratio[s] * w[s] for s in own) / math.sqrt(sum(ratio[s] ** 2 for s in own)) + b
+        assert abs(got[i]["margin"] - m) < 1e-3 and abs(got[i]["score"] - 1 / (1 + math.exp(-(a * m + c)))) < 1e-3
+    assert all((got[i]["score"] > 0.5) == (i % 3 > 0) for i in range(60))
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_classifier_on_held_out_rows(spark):
     got = queries.op8_quality_classifier(spark, str(DATA)).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").where("held_out").collect()
