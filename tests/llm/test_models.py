@@ -180,7 +180,7 @@ def test_kneser_ney_sums_to_one():
     """Probabilities after any context sum to one over the alphabet and the unseen character."""
     rnd = random.Random(3)
     texts = ["".join(rnd.choice("abcd e") for _ in range(60)) for _ in range(30)]
-    parts = language_id.learn(texts, 3)
+    parts = language_id.learn(*language_id.gram_counts(texts, 3))
     chars, _ = language_id.characters(texts)
     alphabet = sorted(set(chars.tolist()))
     model = language_id.Model(["x"], [parts], 3, len(alphabet))
@@ -193,6 +193,77 @@ def test_kneser_ney_sums_to_one():
         assert abs(total - 1) < 1e-3, context
 
 
+def brute_kneser_ney(texts, order, alphabet):
+    """log2 probability of a character after a context, from dictionaries."""
+    norm = lambda t: " " + "".join(c if c.isalpha() else "\0" for c in t.lower()) + "\0"
+    norm2 = lambda t: re.sub("\0+", " ", norm(t)).replace("  ", " ") if t else " "
+    tables, grams = {}, Counter()
+    for t in texts:
+        s = norm2(t)
+        grams.update(s[i : i + order] for i in range(len(s) - order + 1))
+    for k in range(order, 0, -1):
+        ones, twos = sum(n == 1 for n in grams.values()), sum(n == 2 for n in grams.values())
+        tables[k] = dict(grams), ones / (ones + 2 * twos) if ones and twos else 0.5
+        grams = Counter(g[1:] for g in grams)
+
+    def p(context, c, k):
+        if k == 0:
+            return 1 / alphabet
+        counts, d = tables[k]
+        context = context[len(context) - k + 1 :] if k > 1 else ""
+        own = {g: n for g, n in counts.items() if g[:-1] == context}
+        below = p(context, c, k - 1)
+        if not own:
+            return below
+        return max(counts.get(context + c, 0) - d, 0) / sum(own.values()) + d * len(own) / sum(own.values()) * below
+
+    def entropy(t):
+        s = norm2(t)
+        bits = [math.log2(p(s[max(0, i - order + 1) : i], s[i], min(order, i + 1))) for i in range(1, len(s))]
+        return -sum(bits) / max(1, len(bits))
+
+    return entropy
+
+
+def test_entropies_against_a_plain_version():
+    rnd = random.Random(9)
+    sides = [["".join(rnd.choice(a) for _ in range(rnd.randint(5, 60))) for _ in range(12)] for a in ("abc é1", "abd Éz,", "xyz  ")]
+    models = [language_id.learn(*language_id.gram_counts(t, 4)) for t in sides]
+    m = language_id.Model(["x", "y", "z"], models, 4, 9)
+    texts = [*(t for s in sides for t in s[:2]), "qqq a b", "ab", "a" * 40, None, "", "12 3"]
+    got, letters = m.entropies(texts)
+    again, _ = language_id.Model.of(m.languages, m.arrays(), 4, 9).entropies(texts)
+    assert np.array_equal(got, again) and letters[-3:].tolist() == [0, 0, 0]
+    for j, side in enumerate(sides):
+        plain = brute_kneser_ney(side, 4, 9)
+        for i, t in enumerate(texts[:-3]):
+            assert abs(got[i, j] - plain(t)) < 1e-4, (t, j)
+
+
+def test_many_languages_and_long_texts(spark):
+    """300 languages, none left out, in several parts and passes; a training text of 5 MB; a long text is scored whole."""
+    rnd = random.Random(4)
+    letters = [chr(c) for c in range(0x430, 0x450)] + list("abcdefghijklmnopqrstuvwxyz")
+    own = {f"l{k:03d}": rnd.sample(letters, 6) for k in range(300)}
+    word = lambda a: "".join(rnd.choice(a) for _ in range(rnd.randint(3, 7)))
+    text = lambda a, n: " ".join(word(a) for _ in range(n))
+    rows = [(300 * i + k, text(a, 25), lang) for i in range(3) for k, (lang, a) in enumerate(own.items())]
+    long = text(own["l007"], 2000)
+    rows += [(9000, (long + " ") * (5_000_000 // len(long.encode()) + 1), "l007"), (9001, (long + " ") * 60, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, score string")
+    once = language_id.fit(df, F.lit(True))
+    assert len(once.bounds) == 300 and len(once.sizes) >= 300 // 16 and sum(1 for _ in once.loads()) == 1
+    split = language_id.Fitted(once.parts, once.order, once.alphabet, once.sizes, sum(x[2] for x in once.sizes) // 3, once.bounds)
+    assert sum(1 for _ in split.loads()) >= 3
+    probe = df.where("doc_id >= 9001 or doc_id % 13 = 0")
+    got = [{r["doc_id"]: r for r in language_id.identify(probe, f).collect()} for f in (once, split)]
+    assert len(got[0]) > 60 and got[0][9001]["lang_pred"] == "l007"
+    right = sum(got[0][i]["lang_pred"] == lang for i, _, lang in rows if i % 13 == 0 and lang and i < 9000)
+    assert right / (len(got[0]) - 1) > 0.97
+    for i, r in got[0].items():
+        assert (r["lang_pred"], r["rejected"]) == (got[1][i]["lang_pred"], got[1][i]["rejected"]) and abs(r["score"] - got[1][i]["score"]) < 1e-9
+
+
 def test_sorted_lookup():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.int64).astype(np.uint64) * np.uint64(2))
