@@ -8,6 +8,7 @@ the lineage before the written table.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -47,9 +48,11 @@ def _note(path: str, table: str = "") -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder of the session's ``spark.checkpoint.dir``; a private one where it is unset (tests)."""
+    """Folder of the session's ``spark.checkpoint.dir``; where that is unset, a private one, for a driver without executors only."""
     folder = spark.conf.get(_KEY, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="routeloom-")
         spark.conf.set(_KEY, folder)
         atexit.register(_remove, folder.removeprefix("file://"))
@@ -74,6 +77,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the session find the shuffle files of stages whose results have been written: nothing refers to them any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a frame over the written files."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
@@ -83,7 +92,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def materialize_bucketed(df: DataFrame, tag: str, n: int, key: str) -> DataFrame:
-    """Write ``df`` clustered into ``n`` buckets of ``key``: later joins on ``key`` do not move its rows."""
+    """Write ``df`` clustered into ``n`` buckets of ``key``: later joins on ``key`` do not move its rows.
+
+    Only a catalogue knows buckets, so the files get a name there until the driver ends or their group is released.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     name = f"routeloom_{tag}_{uuid.uuid4().hex[:12]}"
     (
@@ -95,9 +107,24 @@ def materialize_bucketed(df: DataFrame, tag: str, n: int, key: str) -> DataFrame
         .saveAsTable(name)
     )
     _note(path, name)
+    if not _NAMED:
+        atexit.register(_forget, spark)
+    _NAMED.append(name)
     return spark.table(name)
 
 
+_NAMED: list[str] = []
+
+
+def _forget(spark: SparkSession) -> None:
+    """Drop the names of bucketed tables from the catalogue; a stopped session has lost them already."""
+    import contextlib
+
+    for name in _NAMED:
+        with contextlib.suppress(Exception):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def _loose(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 

@@ -57,35 +57,106 @@ def test_rules_keep_clean_texts(spark):
     assert good.where("kept").count() / good.count() > 0.97 and bad.where("not kept").count() / bad.count() > 0.3
 
 
-def test_language_model_against_brute_force(spark):
+def brute_model(rows, is_trained, is_held):
+    """Base columns and score of every row from dictionaries of whole n-grams."""
+    streams = [(i, [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(FOLD)), None]) for i, t in rows]
+
+    def counted(use):
+        c = [Counter(), Counter(), Counter()]
+        texts = 0
+        for i, ws in streams:
+            if use(i):
+                texts += 1
+                seq = ["START", *ws]
+                for k in range(1, len(seq)):
+                    c[0][seq[k]] += 1
+                    c[1][tuple(seq[k - 1 : k + 1])] += 1
+                    if k > 1:
+                        c[2][tuple(seq[k - 2 : k + 1])] += 1
+        c[0]["START"] = texts
+        return c, sum(n for w, n in c[0].items() if w != "START"), sum(1 for w, n in c[0].items() if w != "START" and n), texts
+
+    full, part = counted(is_trained), counted(lambda i: is_trained(i) and not is_held(i))
+
+    def estimates(seq, k, counts):
+        c, n, v, _ = counts
+        asked2 = full[0][0][seq[k - 1]] >= 2 and full[0][0][seq[k]] >= 1
+        before = full[0][1][tuple(seq[k - 2 : k])] if k > 1 and full[0][0][seq[k - 2]] >= 2 and full[0][0][seq[k - 1]] >= 1 else 0
+        asked3 = asked2 and k > 1 and before >= 2 and full[0][1][tuple(seq[k - 1 : k + 1])] >= 1
+        p, row = [1 / (v + 1), c[0][seq[k]] / max(1, n), 0.0, 0.0], 0
+        if c[0][seq[k - 1]] >= 2:
+            p[2] = c[1][tuple(seq[k - 1 : k + 1])] / c[0][seq[k - 1]] if asked2 else 0.0
+            row = 96 + int(language_model.bucket(np.array([c[0][seq[k - 1]]]))[0])
+        ctx = c[1][tuple(seq[k - 2 : k])] if k > 1 and before else 0
+        if ctx >= 2:
+            p[3] = c[2][tuple(seq[k - 2 : k + 1])] / ctx if asked3 else 0.0
+            row = 192 + int(language_model.bucket(np.array([ctx]))[0])
+        return p, row
+
+    cells: dict = {}
+    for i, ws in streams:
+        if is_trained(i) and is_held(i):
+            seq = ["START", *ws]
+            for k in range(1, len(seq)):
+                p, row = estimates(seq, k, part)
+                key = row
+                for q in p[1:]:
+                    key = key * 64 + (min(40, math.floor(-math.log2(q))) if q > 0 else 63)
+                n, s = cells.get(key, (0, np.zeros(3)))
+                cells[key] = n + 1, s + p[1:]
+    keys = np.array(sorted(cells), np.int64)
+    w = language_model.learn_weights(keys, np.array([cells[k][0] for k in keys.tolist()], np.int64), np.array([cells[k][1] for k in keys.tolist()]).reshape(-1, 3).T, part[2])
+    c, n, v, _ = full
+    for i, ws in streams:
+        seq, total = ["START", *ws], 0.0
+        for k in range(1, len(seq)):
+            p, row = estimates(seq, k, full)
+            total += math.log10(sum(a * b for a, b in zip(p, w[row], strict=True)))
+        base = sum(math.log10((c[0][x] + 0.1) / (n + 0.1 * (v + 1))) for x in ws)
+        yield (i is None, i or 0, len(ws), sum(c[0][x] > 0 for x in ws), round(base, 6), round(total, 6)), n
+
+
+@pytest.mark.parametrize("block", [300, 2 << 20])
+def test_language_model_against_brute_force(spark, monkeypatch, block):
+    from routeloom.llm import blocks
+    from tests.llm.test_dedup import thue_morse
+
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", block)
     rnd = random.Random(2)
-    texts = [" ".join(rnd.choice(["the", "The", "cat", "sat", "mat", "on", f"w{rnd.randint(0, 30)}"]) for _ in range(rnd.randint(0, 40))) for _ in range(80)]
-    rows = [*enumerate(texts), (500, None), (501, ""), (502, "unseenword"), (502, "unseenword"), (None, "the cat")]
+    texts = [" ".join(rnd.choice(["the", "The", "cat", "sat", "mat", "on", f"w{rnd.randint(0, 30)}"]) for _ in range(rnd.randint(0, 40))) for _ in range(160)]
+    x, y = thue_morse(1024)
+    rows = [*enumerate(texts), (500, None), (501, ""), (502, "unseenword"), (502, "unseenword"), (None, "the cat"), (503, f"{x} {x}"), (504, y), (505, "the cat " * 3000)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, block string").repartition(5)
     out, total = language_model.score_texts(df, divisor=10, held_out=0)
     got = out.collect()
     assert len(got) == len(rows)
-    toks = [(i, [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(FOLD)), None]) for i, t in rows]
+    held = {r["doc_id"] for r in df.where(F.pmod(F.xxhash64("doc_id", F.lit("weights")), F.lit(10)) == 0).select("doc_id").collect()}
     trained = lambda i: (zlib.crc32(str(i).encode()) if i is not None else 0) % 10 != 0
-    c = Counter(w for i, ws in toks if trained(i) for w in ws)
-    n, v = sum(c.values()), len(c)
-    assert total == n
-    want = sorted((i is None, i or 0, len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for i, ws in toks)
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
-    held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 80 and not trained(r["doc_id"])]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    empty, total = language_model.score_texts(df.where("false"))
+    assert held & {i for i, _ in rows if trained(i)}
+    want = list(brute_model(rows, trained, lambda i: i in held))
+    assert total == want[0][1]
+    mine = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got)
+    for a, (b, _) in zip(mine, sorted(want), strict=True):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-5 * (1 + abs(b[4])) and abs(a[5] - b[5]) < 1e-5 * (1 + abs(b[5]))
+    unseen = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 160 and not trained(r["doc_id"])]
+    assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
+
+
+def test_language_model_of_nothing(spark):
+    empty, total = language_model.score_texts(spark.createDataFrame([], "doc_id long, text string"))
     assert total == 0 and empty.count() == 0
+    with pytest.raises(ValueError):
+        language_model.score_texts(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
-def test_model_is_a_distribution():
-    """Weights of every context sum to one, and held-out likelihood does not fall below that of equal weights."""
+def test_weights_are_a_distribution():
+    """Weights of every row sum to one and use only the orders that the row has."""
     rng = np.random.default_rng(0)
-    cells = np.array([(a << 16) | (b << 8) | c for a, b, c in rng.integers(4, 30, (200, 3))])
-    n = rng.integers(1, 50, 200)
-    w = language_model.learn_weights(cells, n, np.bincount(rng.integers(0, 40, 300), minlength=256), 5000, 400)
-    assert np.allclose(w.sum(1), 1) and (w >= 0).all() and (w[:, 0] > 0).all()
+    rows = np.repeat([3, 96 + 5, 192 + 7], 50)
+    cells = np.unique(rows * 64**3 + rng.integers(0, 30, (150, 3)) @ [4096, 64, 1])
+    n, sums = rng.integers(1, 50, len(cells)), rng.random((3, len(cells)))
+    w = language_model.learn_weights(cells, n, sums, 400)
+    assert np.allclose(w.sum(1), 1) and (w >= 0).all() and (w[:, 0] > 0).all() and (w[:96, 2:] == 0).all() and (w[96:192, 3] == 0).all()
 
 
 def test_features_are_sets():
