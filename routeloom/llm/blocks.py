@@ -121,11 +121,13 @@ def block_bytes(docs: DataFrame) -> int:
 
 
 def make_blocks(
-    docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", extra: Column | None = None, kind: Column | None = None
+    docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", extra: Column | None = None, kind: Column | None = None,
+    times: int = 1,
 ) -> DataFrame:
     """Write the texts of ``docs`` as a table of blocks bucketed by block number; null texts are empty.
 
     ``extra`` (JSON, never null) goes with the rows; all rows of a block are of one ``kind`` (int, 0).  Ids have to be integers.
+    Blocks are ``times`` the usual size, up to the same greatest one.
     """
     extra = F.lit(None).cast("string") if extra is None else extra
     kind = F.lit(0) if kind is None else kind
@@ -134,7 +136,7 @@ def make_blocks(
         raise ValueError(f"ids have to be integers, not {of}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), extra.alias("extra"), kind.cast("int").alias("kind"))
     n = store.shuffle_partitions(docs.sparkSession)
-    size = block_bytes(docs.select(F.col(text_col)))
+    size = min(times * block_bytes(docs.select(F.col(text_col))), BLOCK_BYTES * BLOCK_MOST)
     return store.materialize_bucketed(rows.mapInArrow(_to_blocks(size), BLOCK_SCHEMA), name, n, "block")
 
 
