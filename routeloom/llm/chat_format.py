@@ -11,10 +11,14 @@ chunks.  The cost of a chunk from every state to every state is a small min-plus
 matrices of a conversation's chunks, in order, fix the state at each border, and every chunk is then solved by
 itself.  No conversation has to fit a task, however long it is.
 
+Of equally cheap repairs the one stands whose states, read from the last turn to the first, come first in order (no turn, system, user,
+assistant).  A matrix carries the order of its ways by that rule beside their costs, so the choice at
+a border is the one that solving the whole conversation makes, wherever the borders are.
+
 Defined cases: turns are ordered by turn number (null first), then role, then text; repeated rows are turns of
 their own; a null or unknown role may take any role at a small cost; a null text is empty; rows with a null conversation
 form one conversation; the strings that open and close a turn are broken up by a blank where a text contains
-them; an empty table gives an empty result; other columns are ignored.
+them; a very long text is one turn like any other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,12 +77,35 @@ class Repair:
         return one + [(a, b) for (a,) in one for b in _NEXT[a]]
 
     def matrix(self, roles: list[int]) -> list[int]:
-        """Least cost from every state to every state over the turns."""
-        out = []
+        """Least cost from every state to every state over the turns, then the place of each start among
+        the ways to one end: ways are compared from their last state back, then by their start."""
+        costs, ways = [], {}
         for start in range(4):
             f = [_FAR] * 4
             f[start] = 0
-            out += self.forward(f, roles)[-1]
+            rows = self.forward(f, roles)
+            costs += rows[-1]
+            for to in range(1, 4):
+                if rows[-1][to] < _FAR:
+                    ways[start, to] = [*(w[0] for w in self._back(rows, roles, to)), start]
+        place = [0] * 16
+        for to in range(1, 4):
+            order = sorted((s for s in range(4) if (s, to) in ways), key=lambda s: ways[s, to])  # noqa: B023
+            for k, s in enumerate(order):
+                place[4 * s + to] = k
+        return costs + place
+
+    def _back(self, rows: list[list[int]], roles: list[int], state: int) -> list[tuple[int, int, str, tuple[int, ...]]]:
+        """The way to ``state``, last turn first; of equal ways back the lowest state wins."""
+        out = []
+        for i in range(len(roles) - 1, -1, -1):
+            steps = self.steps[roles[i]]
+            before = min(
+                (s for s in range(4) if rows[i][s] < _FAR and steps[s][state] is not None), key=lambda s: (rows[i][s] + steps[s][state][0], s)  # noqa: B023
+            )
+            cost, action, inserted = steps[before][state]
+            out.append((state, cost, action, inserted))
+            state = before
         return out
 
     def forward(self, f: list[int], roles: list[int]) -> list[list[int]]:
@@ -95,21 +122,12 @@ class Repair:
         return rows
 
     def solve(self, roles: list[int], entry: int = 0, leave: int | None = None) -> list[tuple[int, int, str, tuple[int, ...]]]:
-        """(role, cost, action, inserted) of every turn; of equal ways back the lowest state wins."""
+        """(role, cost, action, inserted) of every turn."""
         f = [_FAR] * 4
         f[entry] = 0
         rows = self.forward(f, roles)
         state = leave if leave is not None else min((1, 2, 3), key=lambda s: (rows[-1][s], s))
-        out = []
-        for i in range(len(roles) - 1, -1, -1):
-            before = min(
-                (s for s in range(4) if rows[i][s] < _FAR and self.steps[roles[i]][s][state] is not None),
-                key=lambda s: (rows[i][s] + self.steps[roles[i]][s][state][0], s),
-            )
-            cost, action, inserted = self.steps[roles[i]][before][state]
-            out.append((state, cost, action, inserted))
-            state = before
-        return out[::-1]
+        return self._back(rows, roles, state)[::-1]
 
 
 def _role(name: str | None) -> int:
@@ -164,7 +182,7 @@ def _borders(table: pa.Table) -> pa.Table:
     entry, leave = [0] * n, [0] * n
     for i in range(n - 1, -1, -1):
         leave[i] = state
-        state = min(range(4), key=lambda s: (rows[i][s] + costs[i][4 * s + state], s))  # noqa: B023
+        state = min(range(4), key=lambda s: (rows[i][s] + costs[i][4 * s + state], costs[i][16 + 4 * s + state]))  # noqa: B023
         entry[i] = state
     return pa.table({
         "conv_id": table["conv_id"], "chunk": table["chunk"], "entry": pa.array(entry, pa.int32()), "leave": pa.array(leave, pa.int32()),
