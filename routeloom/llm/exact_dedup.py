@@ -1,16 +1,19 @@
 """Exact deduplication by a tree merge of sorted digest runs (DataFrame operations only).
 
-Every input partition is written as a run sorted by digest.  Runs then meet in
-binomial rounds: a round merges ``fan_in`` neighbouring runs on (group of runs,
-digest), and each digest keeps its copy count and the verified row that stays.
+Every input partition is a run of digests, which sort aggregation brings in order of digest with one row for each.  Runs then meet in
+binomial rounds: a round merges ``fan_in`` neighbouring runs on (digest, group of runs),
+and each digest keeps its copy count and the verified row that stays.
 The number of rounds follows the logarithm of the number of runs, and a very
 common digest is one row per run, so no task sees more than ``fan_in`` partial rows of
-it in a round.  Texts count as equal when SHA-256 digest and byte length are both
-equal; a digest met with two lengths stops the job.
+it in a round.  The answer goes back the same way: to the groups of runs of the first round that have the digest, then
+to their rows, so the copies of one text, however many, are spread over as many keys as they have groups.
+
+Verified: texts count as equal when their SHA-256 digests are equal; every merge also compares byte length and a second, independent
+64-bit hash, and a digest met with two of either stops the job.
 
 Defined cases: a null text is the empty text; of rows repeated with one
 ``doc_id`` and text exactly one stays; a null ``doc_id`` stays only in a group without other
-ids; an empty table gives an empty result; other columns are ignored, whatever their names, and stay
+ids; a very long text is one row like any other; an empty table gives an empty result; other columns are ignored, whatever their names, and stay
 with the rows that :func:`keep_one` returns.
 """
 
@@ -33,14 +36,14 @@ def runs(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
     """One row per document: doc_id, tag (unique), norm digest, byte length, run number."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     base = docs.select(F.col(id_col).alias("doc_id"), normalized(F.col(text_col)).alias("norm"), *row)
-    out = base.select(
+    return base.select(
         "doc_id",
         F.unhex(F.sha2("norm", 256)).alias("digest"),
         F.octet_length("norm").cast("long").alias("n_bytes"),
+        F.xxhash64("norm").alias("check"),
         F.monotonically_increasing_id().alias("tag"),
         *(["row"] if carry else []),
     )
-    return out if carry else out.sortWithinPartitions("digest")
 
 
 def _best(id_col: Column, tag: Column, keep: str) -> Column:
@@ -49,44 +52,35 @@ def _best(id_col: Column, tag: Column, keep: str) -> Column:
     return F.struct(id_col.isNotNull().alias("known"), order.alias("rank"), id_col.alias("id"), (-tag).alias("tag"))
 
 
-def survivors(table: DataFrame, n_runs: int, fan_in: int, keep: str) -> DataFrame:
-    """Binomial rounds over the runs of ``table``: (digest, best, size)."""
-    level = table.select(
-        "digest",
-        F.shiftright("tag", 33).alias("run"),
-        _best(F.col("doc_id"), F.col("tag"), keep).alias("best"),
-        F.lit(1).cast("long").alias("size"),
-        F.col("n_bytes").alias("shortest"),
-        F.col("n_bytes").alias("longest"),
-    )
-    while True:
-        last = n_runs <= fan_in
-        n_runs = -(-n_runs // fan_in)
-        keys = [F.col("digest")] if last else [F.col("digest"), F.floor(F.col("run") / fan_in).alias("run")]
-        level = level.groupBy(*keys).agg(
-            F.max("best").alias("best"),
-            F.sum("size").alias("size"),
-            F.min("shortest").alias("shortest"),
-            F.max("longest").alias("longest"),
-        )
-        if last:
-            break
-    same = F.col("shortest") == F.col("longest")
-    return level.select(
-        "digest", "best", F.when(same, F.col("size")).otherwise(
-            F.raise_error(F.lit("one digest for texts of different length")).cast("long")
-        ).alias("size"),
-    )
+def merged(level: DataFrame, *keys: Column) -> DataFrame:
+    """Rows of ``level`` with equal keys as one."""
+    ends = [f(c).alias(f"{n}_{c}") for c in ("n_bytes", "check") for n, f in (("least", F.min), ("most", F.max))]
+    out = level.groupBy("digest", *keys).agg(F.max("best").alias("best"), F.sum("size").alias("size"), *ends)
+    same = (F.col("least_n_bytes") == F.col("most_n_bytes")) & (F.col("least_check") == F.col("most_check"))
+    size = F.when(same, F.col("size")).otherwise(F.raise_error(F.lit("one digest for different texts")).cast("long"))
+    return out.select("digest", *([c for c in out.columns if c == "run"]), "best", size.alias("size"), F.col("least_n_bytes").alias("n_bytes"), F.col("least_check").alias("check"))
 
 
 def _runs_and_best(docs: DataFrame, id_col: str, text_col: str, keep: str, fan_in: int, carry: bool) -> tuple[DataFrame, DataFrame]:
-    """The written runs, and of every group of two rows or more its digest (``of``), staying row (``best``) and size."""
+    """The written runs, and for every digest of two rows or more (``of``) and group of runs (``at``) its staying row and size."""
     if keep not in ("first", "last"):
         raise ValueError("keep is 'first' or 'last'")
-    table = store.materialize(runs(docs, id_col, text_col, carry), "digests")
-    n_runs = (table.agg(F.max(F.shiftright("tag", 33))).first()[0] or 0) + 1
-    groups = survivors(table.drop("row"), n_runs, fan_in, keep).where(F.col("size") > 1)
-    return table, store.materialize(groups.select(F.col("digest").alias("of"), "best", "size"), "survivors")
+    table = store.materialize(runs(docs, id_col, text_col, carry), "digests").withColumn("run", F.floor(F.shiftright("tag", 33) / fan_in))
+    n = (table.agg(F.max("run")).first()[0] or 0) + 1
+    one = F.lit(1).cast("long").alias("size")
+    first = merged(table.select("digest", "run", _best(F.col("doc_id"), F.col("tag"), keep).alias("best"), one, "n_bytes", "check"), F.col("run"))
+    first = store.materialize(first, "merged")
+    level = first
+    while n > fan_in:
+        n = -(-n // fan_in)
+        level = merged(level, F.floor(F.col("run") / fan_in).alias("run"))
+    best = merged(level).where(F.col("size") > 1).select(F.col("digest").alias("of"), F.struct("best", "size").alias("answer"))
+    back = first.join(best, F.col("digest") == F.col("of")).select("of", F.col("run").alias("at"), "answer.best", "answer.size")
+    return table, store.materialize(back, "survivors")
+
+
+def _here() -> Column:
+    return (F.col("digest") == F.col("of")) & (F.col("run") == F.col("at"))
 
 
 def exact_dedup(
@@ -97,7 +91,7 @@ def exact_dedup(
     ``keep`` says whether the largest id (``last``) or the smallest (``first``) of equal texts stays.
     """
     table, best = _runs_and_best(docs, id_col, text_col, keep, fan_in, False)
-    joined = table.join(best, F.col("digest") == F.col("of"), "left")
+    joined = table.join(best, _here(), "left")
     alone = F.col("of").isNull()
     return joined.select(
         "doc_id",
@@ -112,5 +106,5 @@ def exact_dedup(
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "last", fan_in: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     table, best = _runs_and_best(docs, id_col, text_col, keep, fan_in, True)
-    dropped = table.select("digest", "tag").join(best, F.col("digest") == F.col("of")).where(F.col("tag") != -F.col("best.tag"))
+    dropped = table.select("digest", "tag", "run").join(best, _here()).where(F.col("tag") != -F.col("best.tag"))
     return store.without(table, dropped.select("tag"), "tag").select("row.*")
