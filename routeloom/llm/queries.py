@@ -72,10 +72,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from routeloom.llm import quality_rules
 
-    out = quality_rules.judge(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+    vocabularies = [vocabulary(name) for name in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")]
+    out = quality_rules.judge(documents(spark, sf_dir), vocabularies)
+    measures = [F.col("fertility")[k][c].alias(f"{c}_{k + 1}") for k in range(2) for c in ("n_tokens", "byte_tokens", "entropy")]
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_tokens", "byte_tokens", "entropy", "script",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", *measures
     )
 
 

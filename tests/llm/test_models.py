@@ -37,17 +37,78 @@ TEXTS = [
 ]
 
 
+VOCABS = [queries.vocabulary(v) for v in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")]
+
+
+def brute_verdict(t, lang, bands):
+    """Measures under both vocabularies, word by word, and whether they lie in the bands."""
+    from routeloom.llm import kernels as K
+
+    out, fine = [], True
+    lead = Counter(quality_rules.SCRIPTS[k] for k in quality_rules._SCRIPT_OF[np.frombuffer((t or "").encode(), np.uint8)] if k)
+    script = min(lead, key=lambda s: (-lead[s], quality_rules.SCRIPTS.index(s))) if lead else "none"
+    assert K is not None
+    for path, own in zip(VOCABS, bands, strict=True):
+        v = quality_rules.vocabulary(path)
+        ids = [i for w in words(t) for i in v.encode([w])[0]]
+        n, raw = len(ids), sum(bool(v.is_byte[i]) for i in ids)
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values()) if n else 0.0
+        out.append((n, raw, round(entropy, 6)))
+        b = own.get(lang) or own.get(script)
+        if b is None or not n:
+            fine = False
+            continue
+        per = sum(map(len, words(t))) / n
+        fine &= b.centre - b.slack - b.noise / math.sqrt(n) <= per <= b.most and raw / n <= b.byte_share and (n < 2 or entropy / math.log2(n) >= b.evenness)
+    return out, script, fine
+
+
+def all_bands():
+    own = quality_rules.Rules().bands
+    return [own[p.rsplit("/", 1)[-1]] | {s: own[p.rsplit("/", 1)[-1]].get(s) or quality_rules.script_band(p, s) for s in quality_rules.SCRIPTS[1:]} for p in VOCABS]
+
+
+def test_verdicts_against_brute_force(spark):
+    rnd = random.Random(8)
+    samples = ["the quick river runs over quiet stones and", "der Fluss und die Berge sind alt", "река течёт через старый город", "η πόλη και το ποτάμι είναι", "הנהר והעיר הם ישנים", "النهر والمدينة قديمة", "नदी और शहर पुराने हैं", "かわ と まち は ふるい です", "河 城 市 山 水 人 大 小", "강 과 도시 는 오래된", "zxqj kvw pfgh bdrt", "$$$ ### 12 99", "aaa"]
+    texts = [None, "", *(" ".join(rnd.choice(s.split()) for _ in range(rnd.choice([20, 60, 300]))) for s in samples for _ in range(4)), "x" * 1_000_000, "漢字 " * 30_000]
+    rows = [(i, t, rnd.choice(["en", "de", None, "ru"])) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), VOCABS).collect()}
+    bands = all_bands()
+    for i, t, lang in rows:
+        measures, script, fine = brute_verdict(t, lang, bands)
+        r = got[i]
+        assert [(f["n_tokens"], f["byte_tokens"], round(f["entropy"], 6)) for f in r["fertility"]] == measures and r["script"] == script, i
+        assert r["fertile"] == fine and r["kept"] == (fine and not r["base_failed"]), (i, t and t[:40])
+
+
+def test_script_bands_follow_the_vocabulary():
+    for p in VOCABS:
+        for s in quality_rules.SCRIPTS[2:]:
+            b = quality_rules.script_band(p, s)
+            assert 0.1 < b.centre <= 0.8 and 0.1 <= b.byte_share <= 1.0
+
+
+def test_lines_and_words_of_one_polynomial_hash(spark):
+    from tests.llm.test_dedup import thue_morse
+
+    x, y = thue_morse(1024)
+    df = spark.createDataFrame([(1, f"{x}\n{y}"), (2, f"{x}\n{x}"), (3, f"{x} a b {y} a b")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in quality_rules.judge(df, VOCABS, lang_col=None).collect()}
+    assert got == {1: (0, 0), 2: (1, 0), 3: (0, 0)}
+
+
 def test_rules_against_brute_force(spark):
     rnd = random.Random(1)
     texts = TEXTS + ["".join(rnd.choice("ab #\n") for _ in range(rnd.randint(0, 300))) for _ in range(100)]
     df = spark.createDataFrame([(i, t, rnd.choice(["en", None, "xx"]), "n") for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_words string")
-    got = {r["doc_id"]: r for r in quality_rules.judge(df, queries.vocabulary("piece_bpe_32k.model")).collect()}
+    got = {r["doc_id"]: r for r in quality_rules.judge(df, VOCABS).collect()}
     for i, t in enumerate(texts):
         r = got[i]
         want = brute_rules(t)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, repr(t)[:80]
         assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and (not r["kept"] or not r["base_failed"])
-    assert quality_rules.judge(df.where("false"), queries.vocabulary("piece_bpe_32k.model")).count() == 0
+    assert quality_rules.judge(df.where("false"), VOCABS).count() == 0
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
