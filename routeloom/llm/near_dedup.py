@@ -57,7 +57,7 @@ def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np
     count = np.bincount(doc, minlength=len(offs) - 1)
     total = np.zeros(len(h), K.U)
     short = np.zeros(len(h), bool)
-    for i in range(k):
+    for i in range(min(k, len(h))):
         total[: len(h) - i] = K.mix(total[: len(h) - i] + K.U(i + 1)) + h[i:]
     own = count[doc]
     place = np.arange(len(h)) - (np.cumsum(count) - count)[doc]

@@ -13,7 +13,7 @@ the least hash.  So suffixes are dealt by anchor, the first and widest radix dig
    exactly the repeated windows.  Each gets its smallest document.
 4. Blocks get back the windows that a smaller document has, and cut them from every later document.
 
-Defined cases: a null text is empty; a text shorter than the window keeps all bytes; rows with
+Defined cases: ids are integers (others raise an error); a null text is empty; a very long text is a row of a block of its own; a text shorter than the window keeps all bytes; rows with
 one id count as one document (none takes bytes from the other); a null id is smaller than none and takes part
 as the largest document; an empty table gives an empty result; other columns are ignored.
 """
@@ -297,7 +297,7 @@ def _sort_range(window: int):
 _CUT = ("cls", "skip", "count", "source")
 
 
-def _cut_block(n: int, window: int):
+def _cut_block(n: int, window: int, whole_characters: bool):
     def apply(block: B.Block, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         delta = np.zeros(len(block.data) + 1, np.int32)
         ids = _ids(block)
@@ -329,6 +329,17 @@ def _cut_block(n: int, window: int):
             seam = np.zeros(0, np.int64)
         starts = np.sort(np.concatenate((np.flatnonzero(edge > 0), seam)))
         stops = np.sort(np.concatenate((np.flatnonzero(edge < 0), seam)))
+        if whole_characters:
+            lead = np.append(K.LEAD[block.data], True)
+            for _ in range(3):
+                starts = starts + ((starts < stops) & ~lead[starts])
+                stops = stops - ((stops > starts) & ~lead[stops])
+            real = stops > starts
+            starts, stops = starts[real], stops[real]
+            gone = np.zeros(len(block.data) + 1, np.int8)
+            gone[starts] += 1
+            gone[stops] -= 1
+            gone = np.cumsum(gone[:-1]) > 0
         doc_of = np.searchsorted(block.offs, starts, "right") - 1
         kept = block.data[~gone]
         kept_offs = np.concatenate(([0], np.cumsum(~gone)))[block.offs].astype(np.int32)
@@ -348,18 +359,26 @@ def _cut_block(n: int, window: int):
 
 
 def remove_repeats(
-    docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text", extra: Column | None = None
+    docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text", extra: Column | None = None,
+    whole_characters: bool = False,
 ) -> DataFrame:
-    """One row per document: doc_id, extra (JSON that goes with the row), n_bytes, spans (removed, maximal) and kept (the other bytes)."""
+    """One row per document: doc_id, extra (JSON that goes with the row), n_bytes, spans (removed, maximal) and kept (the other bytes).
+
+    With ``whole_characters`` a span starts and stops between characters: one that a repeat cuts in two stays whole.
+    """
     if not _ANCHOR < window <= 64:
         raise ValueError("window is 33 to 64 bytes")
     table = B.make_blocks(docs, "texts", id_col, text_col, extra)
     n = B.ranges(table, 8 << 20)
     sent = table.mapInArrow(_send_anchors(n, window), "part int, block long, keys binary, several binary")
     shared = store.materialize(sent.groupBy("part").applyInArrow(_shared, "block long, part int, bits binary"), "shared")
+    del sent
+    store.tidy(docs.sparkSession)
     apply, schema = _send_strips(n, window)
     sent = B.back_to_blocks(table, shared, apply, schema)
     found = sent.groupBy("part").applyInArrow(_sort_range(window), "block long, part int, " + ", ".join(f"{c} binary" for c in _CUT))
     found = store.materialize(found, "cuts")
-    apply, schema = _cut_block(n, window)
+    del sent
+    store.tidy(docs.sparkSession)
+    apply, schema = _cut_block(n, window, whole_characters)
     return B.back_to_blocks(table, found.unionByName(shared, allowMissingColumns=True), apply, schema)
