@@ -1,8 +1,9 @@
 """Roads near every point: a range join on grid cells, then exact distances.
 
-Road pieces are listed under every cell that a disc of the search radius around them meets; a point looks up its own cell only.
-So the join is an equi-join on (zone, cell): roads are replicated a few times, points never, and a
-crowded cell is an ordinary skewed key that adaptive execution splits on the points' side.
+Road pieces are listed under every cell that a disc of the search radius around them meets, one row a cell; a point looks up its own
+cell only.  So the join is an equi-join on (zone, cell) after which a point has all its pieces in its row: roads are
+replicated a few times, points never, nothing is grouped by point, and a crowded cell is an ordinary skewed key that adaptive
+execution splits on the points' side.
 """
 
 from __future__ import annotations
@@ -60,17 +61,21 @@ def road_pieces(edges: DataFrame, radius_m: float) -> DataFrame:
     cells = lambda a, b: F.sequence(
         F.floor((F.least(a, b) - radius_m) / CELL_M).cast("long"), F.floor((F.greatest(a, b) + radius_m) / CELL_M).cast("long"))
     own = own.withColumn("cx", F.explode(cells("x1", "x2"))).withColumn("cy", F.explode(cells("y1", "y2")))
-    near, _ = _foot((F.col("cx") + 0.5) * CELL_M, (F.col("cy") + 0.5) * CELL_M)
+    middle = (F.col("cx") + 0.5) * CELL_M, (F.col("cy") + 0.5) * CELL_M
+    share = _share(*middle, F.col)
+    near = F.hypot(middle[0] - (F.col("x1") + share * (F.col("x2") - F.col("x1"))), middle[1] - (F.col("y1") + share * (F.col("y2") - F.col("y1"))))
     return own.where(near <= radius_m + CELL_M * 0.7072)
 
 
-def _foot(x, y):
-    """Distance of a point to the piece, and how far along the piece its foot lies."""
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+def _share(x, y, of):
+    """How far along the piece (0 to 1) the foot of a point lies; ``of`` gives the piece's columns."""
+    dx, dy = of("x2") - of("x1"), of("y2") - of("y1")
     long2 = dx * dx + dy * dy
-    share = F.when(long2 > 0, ((x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / long2).otherwise(0.0)
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
-    return F.hypot(x - (F.col("x1") + share * dx), y - (F.col("y1") + share * dy)), share * F.sqrt(long2)
+    share = F.when(long2 > 0, ((x - of("x1")) * dx + (y - of("y1")) * dy) / long2).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+
+
+_PIECE = ("u", "v", "k", "piece", "road_id", "road_name", "ref", "highway", "osmid", "x1", "y1", "x2", "y2", "piece_m", "piece_from_m", "index_length_m", "route_length_m", "road_bearing", "bonus")
 
 
 def with_candidates(points: DataFrame, edges: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -85,29 +90,41 @@ def with_candidates(points: DataFrame, edges: DataFrame, s: Settings = Settings(
         "px": geo.to_utm(F.col("point.lat"), F.col("point.lon"), "epsg")[0], "py": geo.to_utm(F.col("point.lat"), F.col("point.lon"), "epsg")[1],
     })
     own = own.withColumns({"cx": F.floor(F.col("px") / CELL_M).cast("long"), "cy": F.floor(F.col("py") / CELL_M).cast("long")})
-    pieces = road_pieces(edges, s.max_distance_m)
-    pairs = own.join(pieces, ["epsg", "cx", "cy"], "left")
-    distance, along = _foot(F.col("px"), F.col("py"))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    share = F.when(F.col("piece_m") > 0, along / F.col("piece_m")).otherwise(0.0)
-    bearing = F.pmod(F.degrees(F.atan2(dx, dy)) + 360.0, F.lit(360.0))
     bonus = F.create_map(*[F.lit(v) for kv in m.class_bonus.items() for v in kv])
-    score = -0.5 * F.pow(distance / max(1e-3, m.sigma_gps_m), 2) + F.coalesce(F.try_element_at(bonus, F.col("highway")), F.lit(0.0))
-    if m.heading_weight > 0:
-        turn = geo.angle_difference(F.col("point.bearing"), bearing)
-        score = score + F.coalesce(m.heading_weight * -0.5 * F.pow(turn / max(1e-3, m.sigma_heading_deg), 2), F.lit(0.0))
-    # all arithmetic is done per pair, in generated code; the arrays below are only sorted and cut
-    found = F.struct(
-        "u", "v", "k", F.round(distance, 6).alias("near"), "piece", F.round(distance, 3).alias("rank"), distance.alias("distance_m"),
-        "road_id", "road_name", "ref", "highway", "osmid", bearing.alias("road_bearing"),
-        F.when(F.col("index_length_m") > 0, (F.col("piece_from_m") + along) / F.col("index_length_m")).otherwise(0.0).alias("fraction"),
-        (F.col("x1") + share * dx).alias("foot_x"), (F.col("y1") + share * dy).alias("foot_y"),
-        "route_length_m", score.alias("emission"),
-    )
-    hit = pairs.select("file_id", "idx", "epsg", "px", "py", "point", F.when(distance <= s.max_distance_m, found).alias("hit"))
-    by_point = hit.groupBy("file_id", "idx").agg(
-        *[F.any_value(c).alias(c) for c in ("epsg", "px", "py", "point")], F.array_sort(F.collect_list("hit")).alias("hits")
-    )
+    pieces = road_pieces(edges, s.max_distance_m).withColumns({
+        "road_bearing": F.pmod(F.degrees(F.atan2(dx, dy)) + 360.0, F.lit(360.0)),
+        "bonus": F.coalesce(F.try_element_at(bonus, F.col("highway")), F.lit(0.0)),
+    })
+    cells = pieces.groupBy("epsg", "cx", "cy").agg(F.collect_list(F.struct(*_PIECE)).alias("pieces"))
+    by_point = own.join(cells, ["epsg", "cx", "cy"], "left")
+    px, py = F.col("px"), F.col("py")
+
+    def foot(p):
+        share = _share(px, py, p.getField)
+        return F.struct(p.alias("p"), (p["x1"] + share * (p["x2"] - p["x1"])).alias("x"), (p["y1"] + share * (p["y2"] - p["y1"])).alias("y"), share.alias("share"))
+
+    def far(f):
+        return F.struct(f["p"].alias("p"), f["x"].alias("x"), f["y"].alias("y"), f["share"].alias("share"), F.hypot(px - f["x"], py - f["y"]).alias("d"))
+
+    def hit(f):
+        p, d = f["p"], f["d"]
+        score = -0.5 * F.pow(d / max(1e-3, m.sigma_gps_m), 2) + p["bonus"]
+        if m.heading_weight > 0:
+            turn = geo.angle_difference(F.col("point.bearing"), p["road_bearing"])
+            score = score + F.coalesce(m.heading_weight * -0.5 * F.pow(turn / max(1e-3, m.sigma_heading_deg), 2), F.lit(0.0))
+        way = p["piece_from_m"] + f["share"] * p["piece_m"]
+        return F.struct(
+            p["u"].alias("u"), p["v"].alias("v"), p["k"].alias("k"), F.round(d, 6).alias("near"), p["piece"].alias("piece"), F.round(d, 3).alias("rank"), d.alias("distance_m"),
+            *[p[c].alias(c) for c in ("road_id", "road_name", "ref", "highway", "osmid", "road_bearing")],
+            F.when(p["index_length_m"] > 0, way / p["index_length_m"]).otherwise(0.0).alias("fraction"),
+            f["x"].alias("foot_x"), f["y"].alias("foot_y"), p["route_length_m"].alias("route_length_m"), score.alias("emission"),
+        )
+
+    # a point without a road in reach has an empty list
+    found = F.filter(F.transform(F.transform("pieces", foot), far), lambda f: f["d"] <= s.max_distance_m)
+    by_point = by_point.withColumn("hits", F.array_sort(F.transform(found, hit)))
+    by_point = by_point.withColumn("hits", F.coalesce("hits", F.array().cast(by_point.schema["hits"].dataType))).drop("pieces")
     # nearest piece of each edge, then the inner radius if it has any, then the nearest few
     same = lambda a, b: reduce(lambda p, q: p & q, [a[c] == b[c] for c in ("u", "v", "k")])
     own_hits = F.filter("hits", lambda h, i: (i == 0) | ~same(h, F.get("hits", i - 1)))

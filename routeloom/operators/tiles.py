@@ -12,6 +12,10 @@ from routeloom.config import Settings
 from routeloom.functions import geo
 
 
+#: Files whose centres lie in one cell of this size are matched together, so that their roads are read once.
+AREA_DEG = 0.25
+
+
 def _edges(s: Settings, lat_min: Column, lat_max: Column, lon_min: Column, lon_max: Column) -> dict[str, Column]:
     """First and last tile index in both directions of a buffered extent."""
     high = s.road_buffer_m / (geo.DEGREE_KM * 1000)
@@ -32,14 +36,15 @@ def tile_ranges(points: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def with_zone(points: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Points with epsg: the zone of the centre of their file's tiles, by a window over the file."""
+    """Points with epsg (the zone of the centre of their file's tiles) and area (a grid cell of that centre), by a window over the file."""
     whole = W.partitionBy("file_id")
     box = [f(c).over(whole) for c in ("lat", "lon") for f in (F.min, F.max)]
     own = points.drop("epsg").withColumns(dict(zip(("__a0", "__a1", "__o0", "__o1"), box, strict=True)))
     e = _edges(s, *map(F.col, ("__a0", "__a1", "__o0", "__o1")))
     step = s.tile_km / geo.DEGREE_KM
     mid = lambda a, b: (a + b + 1) / 2 * step
-    own = own.withColumn("epsg", geo.utm_epsg(mid(e["iy0"], e["iy1"]), mid(e["ix0"], e["ix1"])))
+    lat, lon = mid(e["iy0"], e["iy1"]), mid(e["ix0"], e["ix1"])
+    own = own.withColumns({"epsg": geo.utm_epsg(lat, lon), "area": F.floor(lat / AREA_DEG) * 100_000 + F.floor(lon / AREA_DEG)})
     return own.drop("__a0", "__a1", "__o0", "__o1")
 
 

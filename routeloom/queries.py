@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from routeloom import fixtures
 from routeloom.config import Settings, identity
 from routeloom.functions import geo, text
-from routeloom.operators import catalog, clean, kinematics, legs, reports, simplify, tiles
+from routeloom.operators import catalog, clean, kinematics, legs, matching, reports, simplify, tiles
 from routeloom.plans.analysis import Analysis
 
 _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -359,13 +359,8 @@ def nearest_roads(spark, d):
 
 @query
 def network_distances(spark, d):
-    """Distances up to 450 m between all nodes, by relaxing every edge once a round from all nodes at a time."""
-    e = fixtures.edges(spark, d).select(F.col("u").alias("via"), F.col("v").alias("to"), "length_m")
-    best = fixtures.nodes(spark, d).select(F.col("node_id").alias("source"), F.col("node_id").alias("to"), F.lit(0.0).alias("dist"))
-    for _ in range(4):  # 450 m are at most four blocks
-        step = best.withColumnRenamed("to", "via").join(e, "via").select("source", "to", (F.col("dist") + F.col("length_m")).alias("dist"))
-        best = best.unionByName(step.where("dist <= 450")).groupBy("source", "to").agg(F.min("dist").alias("dist"))
-    return best.select("source", "to", _r("dist"))
+    """Distances up to 450 m between all nodes."""
+    return matching.distances(fixtures.nodes(spark, d), fixtures.edges(spark, d), 450.0).select("source", "to", _r("dist"))
 
 
 @query
