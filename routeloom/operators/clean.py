@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +13,9 @@ from routeloom.functions import geo
 from routeloom.operators import kernels
 from routeloom.operators.kinematics import kinematics, number
 
+#: So many spikes are listed in the cleaning figures.
+SPIKES_LISTED = 20
+
 
 def precise(points: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Valid coordinates whose dilution of precision is unknown or small enough."""
@@ -60,20 +64,41 @@ def clean(points: DataFrame, s: Settings = Settings()) -> DataFrame:
     return kinematics(number(kept, "idx"))
 
 
+def with_reason(points: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """file_id, reason and idx of every point: why it was dropped (null if it stays) and its number at that step.
+
+    Every step runs once: dropped points are carried along as a track of their own beside those that go on.
+    """
+    poor = ~geo.valid_coordinate("lat", "lon") | F.coalesce(F.col("hdop") > s.cleaning.max_hdop, F.lit(False))
+    own = points.withColumn("reason", F.when(poor, "invalid")).withColumn("at", F.col("idx"))
+    columns = own.columns
+
+    def repeats(table: pa.Table) -> pa.Table:
+        table = table.sort_by("idx")
+        going = table["reason"].is_null().to_numpy()
+        lat, lon, t = table["lat"].to_numpy()[going], table["lon"].to_numpy()[going], kernels.micros(table["t"])[going]
+        reason = np.array(table["reason"].to_pylist(), object)
+        reason[np.flatnonzero(going)[~kernels.distinct_points(lat, lon, t, s.cleaning.duplicate_m)]] = "repeat"
+        return table.set_column(table.schema.get_field_index("reason"), "reason", pa.array(reason.tolist(), pa.string()))
+
+    def step(df: DataFrame, mark, name: str) -> DataFrame:
+        track = F.struct("file_id", F.col("reason").isNotNull().alias("gone"))
+        marked = mark(kinematics(number(df.withColumn("file_id", track), "idx")), s)
+        gone = F.col("file_id.gone")
+        marked = marked.withColumns({"reason": F.when(~gone & F.col(name), name).otherwise(F.col("reason")), "at": F.when(gone, F.col("at")).otherwise(F.col("idx"))})
+        return marked.withColumn("file_id", F.col("file_id.file_id")).select(columns)
+
+    out = own.groupBy("file_id").applyInArrow(repeats, own.schema)
+    out = step(step(out, mark_spikes, "spike"), mark_idle, "idle")
+    return out.select("file_id", "reason", F.col("at").alias("idx"))
+
+
 def clean_stats(points: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One row per file: points in and out and how many each step removed."""
-    count = lambda df, name: df.groupBy("file_id").agg(F.count(F.lit(1)).alias(name))
-    first = precise(points, s)
-    second = drop_repeats(number(first, "idx"), s)
-    third = mark_spikes(kinematics(number(second, "idx")), s).where(~F.col("spike")).select(points.columns)
-    fourth = mark_idle(kinematics(number(third, "idx")), s).where(~F.col("idle"))
-    out = count(points, "n_in")
-    for df, name in ((first, "n1"), (second, "n2"), (third, "n3"), (fourth, "n_out")):
-        out = out.join(count(df, name), "file_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return out.select(
-        "file_id", "n_in", "n_out",
-        (F.col("n_in") - F.col("n1")).alias("removed_invalid"),
-        (F.col("n1") - F.col("n2")).alias("removed_repeats"),
-        (F.col("n2") - F.col("n3")).alias("removed_spikes"),
-        (F.col("n3") - F.col("n_out")).alias("removed_idle"),
+    """One row per file: points in and out, how many each step removed, and where the first 20 spikes were."""
+    count = lambda reason: F.count_if(F.col("reason") == reason)
+    spikes = F.array_sort(F.collect_list(F.when(F.col("reason") == "spike", F.col("idx"))))
+    return with_reason(points, s).groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("n_in"), F.count_if(F.col("reason").isNull()).alias("n_out"), count("invalid").alias("removed_invalid"),
+        count("repeat").alias("removed_repeats"), count("spike").alias("removed_spikes"), count("idle").alias("removed_idle"),
+        F.slice(spikes, 1, SPIKES_LISTED).alias("spike_indices"),
     )

@@ -6,9 +6,16 @@ expressions.
 
 from __future__ import annotations
 
-from routeloom.config import Settings, identity
-from routeloom.functions import geo
-from routeloom.functions.text import ABBREVIATIONS
+#: Fixed values, written out here so that a wrong constant in the operators shows: the Krueger series of WGS84 (alpha 1 to 4), scale times
+#: rectifying radius in metres, and the eccentricity.
+_ALPHA = (8.377318206244698e-04, 7.608527773572307e-07, 1.197645503329453e-09, 2.429170607201359e-12)
+_SCALED_M = 0.9996 * 6367449.145823415
+_ECCENTRIC = 0.08181919084262149
+_WORDS = (
+    "r rua av avenida avn avenida al alameda tv travessa trav travessa pc praca pca praca rod rodovia estr estrada est estrada prof professor "
+    "profa professora dr doutor dra doutora eng engenheiro sen senador pe padre sta santa sto santo s sao"
+).split()
+_CLASS_BONUS = {"motorway": 0.6, "trunk": 0.5, "primary": 0.4, "secondary": 0.3, "tertiary": 0.2, "residential": 0.1, "unclassified": 0.0, "service": -0.2, "living_street": 0.0}
 
 _R = "6371000.0::DOUBLE"
 
@@ -41,10 +48,10 @@ def _f(x: float) -> str:
 def utm(lat: str, lon: str, epsg: str, source: str, name: str) -> str:
     """CTE ``name``: ``source`` with x and y."""
     cm = f"((({epsg}) % 100) * 6.0::DOUBLE - 183.0::DOUBLE)"
-    xs = " + ".join([f"{_f(a)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(geo.ALPHA, 1)])
-    ys = " + ".join([f"{_f(a)} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(geo.ALPHA, 1)])
-    k = _f(geo.SCALE * geo.RECTIFYING_M)
-    e = _f(geo.ECCENTRIC)
+    xs = " + ".join([f"{_f(a)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1)])
+    ys = " + ".join([f"{_f(a)} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1)])
+    k = _f(_SCALED_M)
+    e = _f(_ECCENTRIC)
     return f"""
 {name}_a AS (SELECT *, sinh(atanh(sin(radians({lat}))) - {e} * atanh({e} * sin(radians({lat})))) AS tt, radians({lon} - {cm}) AS lam FROM {source}),
 {name}_b AS (SELECT *, atan2(tt, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + tt * tt)) AS eta FROM {name}_a),
@@ -152,13 +159,12 @@ s5 AS (SELECT k4.file_id, k4.pt, k4.lat, k4.lon, k4.t, row_number() OVER (PARTIT
 
 
 def norm_sql(x: str) -> str:
-    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ABBREVIATIONS.items())
+    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in zip(_WORDS[::2], _WORDS[1::2], strict=True))
     plain = f"regexp_replace(regexp_replace(lower(strip_accents(coalesce({x}, ''))), '[^\\w\\s-]', ' ', 'g'), '[-_]', ' ', 'g')"
     return f"array_to_string(list_transform(list_filter(string_split_regex({plain}, '\\s+'), lambda w: w <> ''), lambda w: CASE w {cases} ELSE w END), ' ')"
 
 
-_S = Settings()
-_BONUS = " ".join(f"WHEN '{k}' THEN {_f(v)}" for k, v in _S.matching.class_bonus.items())
+_BONUS = " ".join(f"WHEN '{k}' THEN {_f(v)}" for k, v in _CLASS_BONUS.items())
 
 
 def identity_sql(name: str, official: str, ref: str, alt: str, highway: str, osmid: str) -> str:
@@ -355,8 +361,8 @@ def _with(ctes: str, select: str) -> str:
 
 
 def _home() -> str:
-    b = brg("-3.02::DOUBLE", "-59.94::DOUBLE", "lat", "lon")
-    h = hav("-3.02::DOUBLE", "-59.94::DOUBLE", "lat", "lon")
+    b = brg("-2.875::DOUBLE", "-59.75::DOUBLE", "lat", "lon")
+    h = hav("-2.875::DOUBLE", "-59.75::DOUBLE", "lat", "lon")
     a = ang(b, "350::DOUBLE")
     return f"""SELECT file_id, pt, round({h}, 3) AS home_m, round({b}, 3) AS home_bearing, round({a}, 3) AS turn, round(least({a}, 180 - {a}), 3) AS axis,
       round({h} * sin(radians({b})), 3) AS east_m, round({h} * cos(radians({b})), 3) AS north_m FROM okraw"""
@@ -373,7 +379,7 @@ def oracle_sql() -> dict[str, str]:
         "geo_measures": _with(TRACKS, _home()),
         "sql_functions": _with(
             TRACKS,
-            f"""SELECT file_id, pt, lat BETWEEN -90 AND 90 AND NOT (lat = 0 AND lon = 0) AS ok, round({hav("-3.02::DOUBLE", "-59.94::DOUBLE", "lat", "lon")}, 2) AS home_m,
+            f"""SELECT file_id, pt, lat BETWEEN -90 AND 90 AND NOT (lat = 0 AND lon = 0) AS ok, round({hav("-2.875::DOUBLE", "-59.75::DOUBLE", "lat", "lon")}, 2) AS home_m,
             {_EPSG.format(a="lat", o="lon")} AS epsg, CAST(floor(lon / {_STEP}) AS BIGINT) AS ix, CAST(floor(lat / {_STEP}) AS BIGINT) AS iy FROM raw""",
         ),
         "precise_points": _with(TRACKS, "SELECT file_id, idx, hdop FROM p0 WHERE NOT (hdop > 30)"),
@@ -383,10 +389,11 @@ def oracle_sql() -> dict[str, str]:
         "clean_pipeline": _with(CLEAN, f"SELECT file_id, idx, pt, {kcols} FROM k4"),
         "clean_pipeline_stats": _with(
             CLEAN,
-            """SELECT file_id, n_in, n_out, n_in - n1 AS removed_invalid, n1 - n2 AS removed_repeats, n2 - n3 AS removed_spikes, n3 - n_out AS removed_idle FROM (
+            """SELECT file_id, n_in, n_out, n_in - n1 AS removed_invalid, n1 - n2 AS removed_repeats, n2 - n3 AS removed_spikes, n3 - n_out AS removed_idle,
+            coalesce((SELECT string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) FROM (SELECT file_id AS g, idx, row_number() OVER (PARTITION BY file_id ORDER BY idx) AS rn FROM sp WHERE spike) z WHERE g = y.file_id AND rn <= 20), '') AS spike_indices FROM (
             SELECT a.file_id, a.n AS n_in, coalesce(b.n, 0) AS n1, coalesce(c.n, 0) AS n2, coalesce(e.n, 0) AS n3, coalesce(g.n, 0) AS n_out FROM (SELECT file_id, count(*) n FROM p0 GROUP BY ALL) a
             LEFT JOIN (SELECT file_id, count(*) n FROM p1 GROUP BY ALL) b USING (file_id) LEFT JOIN (SELECT file_id, count(*) n FROM p2 GROUP BY ALL) c USING (file_id)
-            LEFT JOIN (SELECT file_id, count(*) n FROM p3 GROUP BY ALL) e USING (file_id) LEFT JOIN (SELECT file_id, count(*) n FROM p4 GROUP BY ALL) g USING (file_id))""",
+            LEFT JOIN (SELECT file_id, count(*) n FROM p3 GROUP BY ALL) e USING (file_id) LEFT JOIN (SELECT file_id, count(*) n FROM p4 GROUP BY ALL) g USING (file_id)) y""",
         ),
         "utm_zone": _with(TRACKS, f"SELECT file_id, pt, greatest(1, least(60, CAST(floor((lon + file_id % 50 + 180) / 6::DOUBLE) AS INT) + 1)) AS zone, {found_epsg} AS epsg FROM okraw"),
         "utm_project": _with(TRACKS + f", pz AS (SELECT *, {_MID} AS epsg FROM p0)," + utm("lat", "lon", "epsg", "pz", "pu"), "SELECT file_id, idx, epsg, round(x, 3) AS x, round(y, 3) AS y FROM pu"),
@@ -424,7 +431,11 @@ def oracle_sql() -> dict[str, str]:
         "format_duration": f"SELECT l_orderkey, l_linenumber, {dur('s')} AS duration FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 9 <> 0 THEN l_quantity * l_orderkey / 2 END AS s FROM lineitem)",
         "safe_file_name": """SELECT k, CASE WHEN s = '' THEN 'file' ELSE s END AS name FROM (SELECT k, rtrim(trim(regexp_replace(n, '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g')), '.') AS s FROM (
           SELECT p_partkey AS k, CASE WHEN p_partkey % 13 = 0 THEN ' ... ' ELSE p_name || ['...', '<a>:"b"', '/x\\y|?*', '  ', '.'][p_partkey % 5 + 1] END AS n FROM part))""",
-        "config_identity": "SELECT r_regionkey::BIGINT AS k, [" + ", ".join(f"'{identity(Settings(spacing_m=10.0 + i))}'" for i in range(5)) + "][r_regionkey + 1] AS config_hash FROM region",
+        "config_identity": """SELECT r_regionkey::BIGINT AS k, left(sha256('{"candidate_radius_m": 30.0, "curve_deg": 20.0, "matching": {"beta_m": 12.0, "class_bonus": {'
+            || '"living_street": 0.0, "motorway": 0.6, "primary": 0.4, "residential": 0.1, "secondary": 0.3, "service": -0.2, "tertiary": 0.2, "trunk": 0.5, "unclassified": 0.0}, '
+            || '"cutoff_factor": 3.0, "cutoff_min_m": 60.0, "heading_weight": 1.0, "max_candidates": 8, "sigma_gps_m": 12.0, "sigma_heading_deg": 45.0}, '
+            || '"max_distance_m": 50.0, "max_speed_kmh": 200.0, "min_leg_m": 20.0, "road_buffer_m": 300.0, "simplify_tolerance_m": 3.0, "spacing_m": '
+            || (10 + r_regionkey) || '.0, "tile_km": 5.0}'), 16) AS config_hash FROM region""",
         "road_edges": _with(ROADS, "SELECT u, v, k, osmid, road_id, road_name, ref, highway, round(length_m, 3) AS length_m FROM roads"),
         "candidate_edges": _with(CANDIDATES, "SELECT file_id, idx, pos, u, v, k, round(distance_m, 3) AS distance_m, round(road_bearing, 3) AS road_bearing, round(fraction, 4) AS fraction FROM cand"),
         "emission_scores": _with(CANDIDATES, "SELECT file_id, idx, pos, round(emission, 3) AS emission FROM cand"),

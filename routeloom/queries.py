@@ -65,7 +65,7 @@ def point_kinematics(spark, d):
 @query
 def geo_measures(spark, d):
     t = fixtures.tracks(spark, d).where(geo.valid_coordinate("lat", "lon"))
-    home = (F.lit(-3.02), F.lit(-59.94))
+    home = (F.lit(-2.875), F.lit(-59.75))
     b = geo.bearing_deg(*home, "lat", "lon")
     x, y = geo.to_local("lat", "lon", *home)
     return t.select(
@@ -80,7 +80,7 @@ def sql_functions(spark, d):
     geo.register(spark)
     fixtures.tracks(spark, d).createOrReplaceTempView("rl_points")
     return spark.sql("""
-        SELECT file_id, pt, rl_valid_coordinate(lat, lon) AS ok, round(rl_haversine(-3.02D, -59.94D, lat, lon), 2) AS home_m,
+        SELECT file_id, pt, rl_valid_coordinate(lat, lon) AS ok, round(rl_haversine(-2.875D, -59.75D, lat, lon), 2) AS home_m,
                rl_utm_epsg(lat, lon) AS epsg, rl_tile(lat, lon, 5D).ix AS ix, rl_tile(lat, lon, 5D).iy AS iy
         FROM rl_points""")
 
@@ -123,7 +123,8 @@ def clean_pipeline(spark, d):
 
 @query
 def clean_pipeline_stats(spark, d):
-    return clean.clean_stats(kinematics.valid_points(fixtures.tracks(spark, d)))
+    out = clean.clean_stats(kinematics.valid_points(fixtures.tracks(spark, d)))
+    return out.withColumn("spike_indices", F.array_join(F.col("spike_indices").cast("array<string>"), ","))
 
 
 # ---- coordinate systems
