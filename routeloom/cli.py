@@ -12,7 +12,7 @@ import sys
 from routeloom import config
 from routeloom.plans import batch
 from routeloom.session import session
-from routeloom.sources import gpx, roads
+from routeloom.sources import gpx, roads, sinks
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -23,6 +23,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--config", help="JSON file with settings")
     p.add_argument("--roads", help="folder of road edges by tile (Parquet), or of GraphML files")
     p.add_argument("--catalog", help="folder of the tile and file history")
+    p.add_argument("--staged", help="folder of GraphML files by tile, from which tiles that the catalogue lacks are taken")
+    p.add_argument("--log", help="log file (2 MB, five older ones kept)")
     p.add_argument("--offline", action="store_true", help="use stored tiles only")
     p.add_argument("--refresh-cache", action="store_true", help="ignore stored tiles")
     p.add_argument("--geopackage", action="store_true", help="also write layer databases")
@@ -35,6 +37,8 @@ def _parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
+    if args.log:
+        sinks.log_to(args.log)
     files = sorted({f for i in args.inputs for f in gpx.find(i, args.recursive)})
     if not files:
         print("no GPX file found")
@@ -60,9 +64,11 @@ def main(argv: list[str] | None = None) -> int:
     from pathlib import Path
 
     edges = roads.distinct_edges(roads.read_graphml(spark, args.roads)) if any(Path(args.roads).glob("*.graphml")) else args.roads
-    result = batch.run(spark, files, edges, args.out, s, args.catalog)
+    result = batch.run(spark, files, edges, args.out, s, args.catalog, staged=args.staged)
     count = lambda x: sum(f["status"] == x for f in result.files)
     print(f"files: {len(result.files)} | ok: {count('ok')} | partial: {count('partial')} | error: {count('error')}")
+    for x in result.alerts:
+        print(f"  {x['kind']} ({x['stage']}) {x['message']}")
     for f in result.files:
         print(f"  [{f['status']}] {f['name']}: {f['route'] or '(none)'}")
     return result.exit_code

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -83,6 +84,11 @@ def video_id(file_name: Column) -> Column:
     return F.when(found != "", found).otherwise(F.regexp_replace(file_name, r"(?<=.)\.[^.]*$", ""))
 
 
+def plain_file_name(name: str) -> str:
+    """:func:`safe_file_name` of one name (driver side)."""
+    return re.sub(r'[<>:"/\\|?*\x00-\x1f]', "_", name).strip().rstrip(".") or "file"
+
+
 def safe_file_name(name: Column) -> Column:
     """Name without characters that a file system refuses."""
     base = F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_")

@@ -453,7 +453,7 @@ def oracle_sql() -> dict[str, str]:
         "leg_confidence": _with(LEGS, "SELECT file_id, leg_no, round(turn_deg, 2) AS turn_deg, round(mean_margin, 2) AS mean_margin, confidence, notes FROM lg"),
         "confidence_summary": _with(LEGS + "," + CONF, "SELECT * FROM cs"),
         "route_string": _with(LEGS, "SELECT file_id, substr(string_agg(road_name, ' > ' ORDER BY leg_no), 1, 120) AS route FROM lg GROUP BY ALL"),
-        "report_legs": _with(LEGS, f"SELECT file_id, leg_no, road_name, {dur('duration_s')} AS duration, round(distance_m, 1) AS distance_m, round(mean_m, 2) AS mean_m, round(max_m, 2) AS max_m, confidence, notes FROM lg"),
+        "report_legs": _with(LEGS, f"SELECT file_id, CAST(file_id AS VARCHAR) AS video_id, leg_no, road_name, {dur('duration_s')} AS duration, round(distance_m, 1) AS distance_m, round(mean_m, 2) AS mean_m, round(max_m, 2) AS max_m, confidence, notes FROM lg"),
         "report_points": _with(
             LEGS,
             """SELECT ml.file_id, idx, t, lat, lon, round(dist_cum_m, 1) AS dist_cum_m, round(speed_kmh, 1) AS speed_kmh, round(bearing, 1) AS bearing, coalesce(ml.road_name, '') AS road_name, coalesce(ml.osmid, '') AS osmid,
@@ -465,7 +465,7 @@ def oracle_sql() -> dict[str, str]:
             STATUS + "," + COUNTS + "," + CONF + _inspect_tail(),
             f"""SELECT file_id, CAST(file_id AS VARCHAR) AS video_id, t_first, t_last, {dur("duration_s")} AS duration, round(dist0, 1) AS distance_m, coalesce(n_original, 0) AS n_original, coalesce(n_cleaned, 0) AS n_cleaned,
             coalesce(n_simplified, 0) AS n_simplified, coalesce(n_legs, 0) AS n_legs, coalesce(n_high, 0) AS n_high, coalesce(n_medium, 0) AS n_medium, coalesce(n_low, 0) AS n_low, coalesce(n_unidentified, 0) AS n_unidentified,
-            status, array_to_string(a, '; ') AS notes FROM f LEFT JOIN qs USING (file_id) LEFT JOIN cs USING (file_id) LEFT JOIN sx USING (file_id) LEFT JOIN an USING (file_id)""",
+            status, array_to_string(a, '; ') AS notes, CAST(NULL AS VARCHAR) AS map FROM f LEFT JOIN qs USING (file_id) LEFT JOIN cs USING (file_id) LEFT JOIN sx USING (file_id) LEFT JOIN an USING (file_id)""",
         ),
         "report_alerts": _with(
             STATUS + _inspect_tail(),
@@ -473,15 +473,44 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT file_id, 'read', 'ERROR', 'no valid point in the file', 'the file is empty or has no valid coordinates' FROM f WHERE n_points = 0
             UNION ALL SELECT f.file_id, 'clean', 'ERROR', 'fewer than two points after cleaning', '' FROM f LEFT JOIN (SELECT file_id, count(*) AS n FROM k4 GROUP BY ALL) c USING (file_id) WHERE n_points > 0 AND coalesce(n, 0) < 2
             UNION ALL SELECT file_id, 'roads', 'ALERT', 'no road identified', 'run online or refresh the cache' FROM sx WHERE status = 'partial')
-            SELECT CAST(file_id AS VARCHAR) AS file_id, stage, kind, message, action FROM al
-            UNION ALL SELECT NULL, NULL, NULL, 'no error or alert', NULL WHERE NOT EXISTS (SELECT 1 FROM al)""",
+            SELECT CAST(file_id AS VARCHAR) AS file_id, stage, kind, message, action, TIMESTAMP '2026-07-01 06:00:00' AS at FROM al
+            UNION ALL SELECT NULL, NULL, NULL, 'no error or alert', NULL, TIMESTAMP '2026-07-01 06:00:00' WHERE NOT EXISTS (SELECT 1 FROM al)""",
+        ),
+        "route_json": _with(
+            STATUS + "," + COUNTS + _inspect_tail(),
+            """, al AS (SELECT file_id, 'read' AS stage, 'ALERT' AS kind, 'no times in the file' AS message FROM f WHERE NOT has_time UNION ALL SELECT file_id, 'read', 'ERROR', 'no valid point in the file' FROM f WHERE n_points = 0
+            UNION ALL SELECT f.file_id, 'clean', 'ERROR', 'fewer than two points after cleaning' FROM f LEFT JOIN q1 USING (file_id) WHERE n_points > 0 AND coalesce(n_cleaned, 0) < 2
+            UNION ALL SELECT file_id, 'roads', 'ALERT', 'no road identified' FROM sx WHERE status = 'partial'),
+            ja AS (SELECT file_id, string_agg(message, '|' ORDER BY stage, kind, message) AS alerts FROM al GROUP BY ALL),
+            jl AS (SELECT file_id, string_agg(leg_no || ':' || road_name || ':' || n_points || ':' || confidence, '|' ORDER BY leg_no) AS legs, sum(round(distance_m, 1)) AS m FROM lg GROUP BY ALL)
+            SELECT file_id, status, '{"spacing_m": 10}' AS settings, n_segments, n_points, duration_s, round(dist0, 1) AS distance_m, has_time, array_to_string(a, '; ') AS anomalies, n_original, n_cleaned, n_simplified,
+              round(reduction_percent, 2) AS reduction_percent, coalesce(legs, '') AS legs, round(coalesce(m, 0), 1) AS legs_m, coalesce(alerts, '') AS alerts
+            FROM f LEFT JOIN an USING (file_id) LEFT JOIN sx USING (file_id) LEFT JOIN qs USING (file_id) LEFT JOIN jl USING (file_id) LEFT JOIN ja USING (file_id)""",
+        ),
+        "map_centres": _with(SIMPLIFY, "SELECT file_id, round(coalesce(c.a, b.a, p.a), 7) AS lat, round(coalesce(c.o, b.o, p.o), 7) AS lon FROM (SELECT file_id, avg(lat) AS a, avg(lon) AS o FROM p0 GROUP BY ALL) p LEFT JOIN (SELECT file_id, avg(lat) AS a, avg(lon) AS o FROM k4 GROUP BY ALL) b USING (file_id) LEFT JOIN (SELECT file_id, avg(lat) AS a, avg(lon) AS o FROM k5 GROUP BY ALL) c USING (file_id)"),
+        "gpx_files": _with(
+            TRACKS,
+            """, px AS (SELECT file_id, seg, pt, printf('<trkpt lat="%.5f" lon="%.5f">', lat, lon) || coalesce('<time>' || strftime(t, '%Y-%m-%dT%H:%M:%S') || 'Z</time>', '')
+              || CASE WHEN pt % 2 = 0 THEN printf('<hdop>%.1f</hdop>', hdop) ELSE printf('<extensions><x:hdop>%.1f</x:hdop></extensions>', hdop) END || '</trkpt>' AS x FROM raw),
+            sx AS (SELECT file_id, seg, '<trkseg>' || string_agg(x, '' ORDER BY pt) || '</trkseg>' AS x FROM px GROUP BY ALL),
+            fx AS (SELECT file_id, '<gpx xmlns="http://www.topografix.com/GPX/1/1" xmlns:x="x"><trk>' || string_agg(x, '' ORDER BY seg) || '</trk></gpx>' AS whole FROM sx GROUP BY ALL),
+            gx AS (SELECT file_id, CASE WHEN file_id % 7 = 3 THEN substr(whole, 1, 200) ELSE whole END AS xml FROM fx)
+            SELECT file_id || '.gpx' AS name, length(xml) AS bytes, sha256(xml) AS file_hash, file_id % 7 = 3 AS broken FROM gx""",
+        ),
+        "gpx_points": _with(TRACKS, "SELECT file_id, trk, seg, pt % 50 AS pt, round(lat, 5) AS lat, round(lon, 5) AS lon, t, hdop FROM raw WHERE file_id % 7 <> 3"),
+        "graphml_edges": _with(
+            ROADS,
+            """SELECT u, v, CASE WHEN u % 3 = 0 THEN 't2' ELSE 't1' END AS tile_id, CASE WHEN u % 2 = 0 THEN nm || '/other' ELSE nm END AS name, hw || CASE WHEN u % 3 = 0 THEN '_t2' ELSE '_t1' END AS highway,
+            round(ulon, 5) AS lon_a, round(ulat, 5) AS lat_a, round(vlon, 5) AS lon_b, round(vlat, 5) AS lat_b FROM l3""",
         ),
         "map_layers": _with(
             LEGS,
-            """SELECT * FROM (SELECT file_id, 'original' AS layer, 0::BIGINT AS ord, 'line' AS kind, '' AS name, '' AS confidence, count(*) AS n FROM p0 GROUP BY ALL
+            """SELECT *, CASE WHEN layer = 'legs' THEN CASE confidence WHEN 'unidentified' THEN 'no candidate road within the radius'
+              ELSE (SELECT coalesce(nullif(string_split(notes, ' | ')[-1], ''), confidence) FROM lg WHERE lg.file_id = z.file_id AND lg.leg_no = z.ord) END ELSE '' END AS last_info
+            FROM (SELECT file_id, 'original' AS layer, 0::BIGINT AS ord, 'line' AS kind, '' AS name, '' AS confidence, count(*) AS n FROM p0 GROUP BY ALL
             UNION ALL SELECT file_id, 'cleaned', 0, 'line', '', '', count(*) FROM k4 GROUP BY ALL UNION ALL SELECT file_id, 'simplified', 0, 'line', '', '', count(*) FROM k5 GROUP BY ALL
-            UNION ALL SELECT file_id, 'fitted', 0, 'line', '', '', count(*) FROM k5 GROUP BY ALL UNION ALL SELECT file_id, 'legs', leg_no, 'line', road_name, confidence, n_points FROM lg) WHERE n >= 2
-            UNION ALL SELECT file_id, 'problems', idx, 'point', 'no road within the radius', '', 1 FROM mt WHERE state IS NULL""",
+            UNION ALL SELECT file_id, 'fitted', 0, 'line', '', '', count(*) FROM k5 GROUP BY ALL UNION ALL SELECT file_id, 'legs', leg_no, 'line', road_name, confidence, n_points FROM lg) z WHERE n >= 2
+            UNION ALL SELECT file_id, 'problems', idx, 'point', 'no road within the radius', '', 1, '' FROM mt WHERE state IS NULL""",
         ),
     }
     return d

@@ -12,6 +12,7 @@ from routeloom.config import Settings, identity
 from routeloom.functions import geo, text
 from routeloom.operators import catalog, clean, kinematics, legs, matching, reports, simplify, tiles
 from routeloom.plans.analysis import Analysis
+from routeloom.sources import gpx, roads
 
 _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -426,7 +427,7 @@ def report_summary(spark, d):
 
 @query
 def report_legs(spark, d):
-    return reports.leg_rows(_analysis(spark, d).legs).select("file_id", "leg_no", "road_name", "duration", "distance_m", "mean_m", "max_m", "confidence", "notes")
+    return reports.leg_rows(_analysis(spark, d).legs).select("file_id", "video_id", "leg_no", "road_name", "duration", "distance_m", "mean_m", "max_m", "confidence", "notes")
 
 
 @query
@@ -437,7 +438,8 @@ def report_points(spark, d):
 
 @query
 def report_alerts(spark, d):
-    return reports.alert_rows(_analysis(spark, d).alerts).withColumn("file_id", F.col("file_id").cast("string"))
+    out = reports.alert_rows(_analysis(spark, d).alerts, F.lit(_NOW).cast("timestamp_ntz"))
+    return out.withColumn("file_id", F.col("file_id").cast("string"))
 
 
 @query
@@ -447,12 +449,78 @@ def batch_status(spark, d):
 
 @query
 def route_json(spark, d):
+    """What the technical JSON of each file says, read back from its text."""
     a = _analysis(spark, d)
-    return reports.technical_json(a.files, a.counts, a.legs, a.alerts, a.status)
+    out = reports.technical_json(a.files, a.counts, a.legs, a.alerts, a.status, '{"spacing_m": 10}')
+    kind = (
+        "file STRING, status STRING, metadata STRUCT<n_segments: LONG, n_points: LONG, t_first: STRING, duration_s: DOUBLE, distance_m: DOUBLE, has_time: BOOLEAN, anomalies: ARRAY<STRING>>, "
+        "settings STRING, statistics STRUCT<n_original: LONG, n_cleaned: LONG, n_simplified: LONG, reduction_percent: DOUBLE>, "
+        "legs ARRAY<STRUCT<leg_no: LONG, road_name: STRING, distance_m: DOUBLE, n_points: LONG, confidence: STRING>>, alerts ARRAY<STRUCT<message: STRING>>"
+    )
+    j = out.select("file_id", F.from_json("json", kind).alias("j"))
+    leg = lambda x: F.concat_ws(":", x["leg_no"], x["road_name"], x["n_points"], x["confidence"])
+    return j.select(
+        F.col("j.file").cast("long").alias("file_id"), "j.status", "j.settings", "j.metadata.n_segments", "j.metadata.n_points", "j.metadata.duration_s", "j.metadata.distance_m", "j.metadata.has_time",
+        F.array_join("j.metadata.anomalies", "; ").alias("anomalies"), "j.statistics.n_original", "j.statistics.n_cleaned", "j.statistics.n_simplified", "j.statistics.reduction_percent",
+        F.coalesce(F.array_join(F.transform("j.legs", leg), "|"), F.lit("")).alias("legs"),
+        F.round(F.coalesce(F.aggregate("j.legs", F.lit(0.0), lambda n, x: n + x["distance_m"]), F.lit(0.0)), 1).alias("legs_m"),
+        F.coalesce(F.array_join(F.transform("j.alerts", lambda x: x["message"]), "|"), F.lit("")).alias("alerts"),
+    )
+
+
+@query
+def map_centres(spark, d):
+    a = _analysis(spark, d)
+    return reports.centres(a.original, a.cleaned, a.simplified).select("file_id", _r("lat", 7), _r("lon", 7))
+
+
+def _gpx_files(spark, d) -> DataFrame:
+    """Every track as the bytes of a GPX file; every seventh file is damaged."""
+    t = fixtures.tracks(spark, d)
+    time = F.coalesce(F.concat(F.lit("<time>"), F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</time>")), F.lit(""))
+    hdop = F.when(F.col("pt") % 2 == 0, F.format_string("<hdop>%.1f</hdop>", "hdop")).otherwise(F.format_string("<extensions><x:hdop>%.1f</x:hdop></extensions>", "hdop"))
+    point = F.concat(F.format_string('<trkpt lat="%.5f" lon="%.5f">', "lat", "lon"), time, hdop, F.lit("</trkpt>"))
+    seg = t.groupBy("file_id", "seg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pt", point.alias("x")))), lambda p: p["x"]), "").alias("x"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "x"))), lambda s: F.concat(F.lit("<trkseg>"), s["x"], F.lit("</trkseg>"))), "")
+    own = seg.groupBy("file_id").agg(F.concat(F.lit('<gpx xmlns="http://www.topografix.com/GPX/1/1" xmlns:x="x"><trk>'), body, F.lit("</trk></gpx>")).alias("xml"))
+    own = own.withColumn("xml", F.when(F.col("file_id") % 7 == 3, F.substring("xml", 1, 200)).otherwise(F.col("xml")))
+    content = F.encode("xml", "UTF-8")
+    return own.select(F.concat(F.lit("/in/"), F.col("file_id").cast("string"), F.lit(".gpx")).alias("path"), F.length(content).cast("long").alias("length"), content.alias("content"))
+
+
+@query
+def gpx_files(spark, d):
+    out = gpx.parse(_gpx_files(spark, d))
+    return out.select("name", "bytes", "file_hash", F.col("error").isNotNull().alias("broken"))
+
+
+@query
+def gpx_points(spark, d):
+    out = gpx.points(gpx.parse(_gpx_files(spark, d)).where("error is null"))
+    name = F.regexp_extract("file_id", r"(\d+)\.gpx$", 1).cast("long")
+    return out.select(name.alias("file_id"), "trk", "seg", "pt", "lat", "lon", "t", "hdop")
+
+
+@query
+def graphml_edges(spark, d):
+    """The streets as GraphML text of two overlapping tiles, read back and united: the later tile wins."""
+    e, n = fixtures.edges(spark, d), fixtures.nodes(spark, d)
+    keys = "".join(f'<key id="{c}" for="edge" attr.name="{c}"/>' for c in ("name", "highway", "length", "osmid")) + '<key id="x" for="node" attr.name="x"/><key id="y" for="node" attr.name="y"/>'
+    node = F.format_string('<node id="%d"><data key="x">%.5f</data><data key="y">%.5f</data></node>', "node_id", "lon", "lat")
+    nodes = n.agg(F.array_join(F.array_sort(F.collect_list(node)), "").alias("nodes"))
+    e = e.select("*", F.explode(F.array(F.lit("t1"), F.lit("t2"))).alias("tile")).where("tile = 't1' or u % 3 = 0")
+    name = F.when(F.col("name").isNull(), "").when(F.col("u") % 2 == 0, F.concat(F.lit("<data key=\"name\">['"), "name", F.lit("', 'other']</data>"))).otherwise(F.concat(F.lit('<data key="name">'), "name", F.lit("</data>")))
+    edge = F.concat(F.format_string('<edge id="0" source="%d" target="%d">', "u", "v"), name, F.lit('<data key="highway">'), F.concat(F.col("highway"), F.lit("_"), F.col("tile")), F.lit("</data></edge>"))
+    files = e.groupBy("tile").agg(F.array_join(F.array_sort(F.collect_list(edge)), "").alias("edges")).join(nodes)
+    xml = F.concat(F.lit(f'<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph>'), "nodes", "edges", F.lit("</graph></graphml>"))
+    trees = roads.graphml_trees(files.select(F.concat(F.lit("/in/"), "tile", F.lit(".graphml")).alias("path"), F.encode(xml, "UTF-8").alias("content")))
+    out = roads.distinct_edges(roads.graphml_edges(trees))
+    at = lambda i, c: F.element_at("geometry", i)[c].alias(f"{c}_{'ab'[i - 1]}")
+    return out.select("u", "v", "tile_id", F.array_join("name", "/").alias("name"), F.array_join("highway", "/").alias("highway"), at(1, "lon"), at(1, "lat"), at(2, "lon"), at(2, "lat"))
 
 
 @query
 def map_layers(spark, d):
     a = _analysis(spark, d)
     out = reports.layers(a.original, a.cleaned, a.simplified, a.matched, a.legs)
-    return out.select("file_id", "layer", "ord", "kind", "name", "confidence", F.size("coordinates").cast("long").alias("n"))
+    return out.select("file_id", "layer", "ord", "kind", "name", "confidence", F.size("coordinates").cast("long").alias("n"), F.element_at(F.split("info", r" \| "), -1).alias("last_info"))

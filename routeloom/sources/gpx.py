@@ -34,6 +34,11 @@ def scan(spark: SparkSession, path: str | list[str], recursive: bool = True) ->
         .option("recursiveFileLookup", str(recursive).lower())
         .load(path)
     )
+    return parse(files.select("path", "length", "content"))
+
+
+def parse(files: DataFrame) -> DataFrame:
+    """Rows (path, length, content) with name, bytes, file_hash, error and the parsed tree ``gpx``."""
     # default namespaces, bytes that are no UTF-8, and a byte order mark do not stop the parser
     xml = F.make_valid_utf8(F.col("content").cast("string"))
     tree = F.from_xml(xml, F.lit(_SCHEMA), {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _GRAPHML = (
@@ -13,6 +12,12 @@ _GRAPHML = (
 )
 
 
+EDGES = (
+    "tile_id string, u long, v long, k int, osmid array<string>, name array<string>, official_name array<string>, ref array<string>, alt_name array<string>, "
+    "highway array<string>, length_m string, geometry array<struct<lon: double, lat: double>>"
+)
+
+
 def read_edges(spark: SparkSession, folder: str, tiles: DataFrame | None = None) -> DataFrame:
     """Edges of a folder partitioned by ``tile_id``; with ``tiles`` only those, by partition pruning.
 
@@ -24,14 +29,65 @@ def read_edges(spark: SparkSession, folder: str, tiles: DataFrame | None = None)
     return distinct_edges(edges)
 
 
+#: The last two sets of tiles that were asked for, with their edges kept.
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def kept_edges(spark: SparkSession, folder: str, tiles: DataFrame) -> DataFrame:
+    """:func:`read_edges`, kept for the next batch that needs the same tiles of the folder."""
+    r = tiles.select("tile_id").distinct().agg(F.count(F.lit(1)), F.sum(F.xxhash64("tile_id").cast("decimal(38)"))).first()
+    key = (spark.sparkContext.applicationId, folder, r[0], r[1])
+    found = _KEPT.pop(key, None)
+    _KEPT[key] = read_edges(spark, folder, tiles).persist() if found is None else found
+    while len(_KEPT) > 2:
+        _KEPT.pop(next(iter(_KEPT))).unpersist()
+    return _KEPT[key]
+
+
+def forget_edges() -> None:
+    """Drop all kept edges, for example after tiles changed."""
+    while _KEPT:
+        _KEPT.popitem()[1].unpersist()
+
+
 def distinct_edges(edges: DataFrame) -> DataFrame:
-    last = W.partitionBy("u", "v", "k").orderBy(F.desc("tile_id"))
-    return edges.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+    """One row per (u, v, k): of the last tile.  Only ids are ranked; attributes and geometry move once, with partial aggregation."""
+    rest = [c for c in edges.columns if c not in ("u", "v", "k")]
+    best = edges.groupBy("u", "v", "k").agg(F.max_by(F.struct(*rest), F.col("tile_id")).alias("row"))
+    return best.select("u", "v", "k", "row.*").select(*edges.columns)
 
 
 def write_edges(edges: DataFrame, folder: str, mode: str = "append") -> None:
-    """Edges with a column ``tile_id``, one folder per tile."""
-    edges.repartition("tile_id").write.mode(mode).partitionBy("tile_id").parquet(folder)
+    """Edges with a column ``tile_id``, one folder per tile; ``overwrite`` replaces the tiles that occur and leaves the others."""
+    edges.repartition("tile_id").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("tile_id").parquet(folder)
+
+
+def stored_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """tile_id of every tile that has edges below ``folder``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "tile_id string")
+    return spark.read.parquet(folder).select("tile_id").distinct()
+
+
+def ingest(spark: SparkSession, staged: str, wanted: DataFrame, folder: str, version: int) -> DataFrame:
+    """Take street graphs of the ``wanted`` tiles from ``staged`` (GraphML files named by tile) into ``folder``.
+
+    Returns tile_id, version, roads, error and downloaded, as :func:`routeloom.operators.tiles.apply_downloads` takes them: a tile
+    without a file or with one that cannot be read has an error.
+    """
+    files = _graphml_files(spark, staged).join(wanted.select("tile_id").distinct(), "tile_id", "left_semi")
+    edges = graphml_edges(files).persist()
+    write_edges(edges, folder, "overwrite")
+    counts = edges.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"))
+    seen = files.select("tile_id", F.col("g").isNotNull().alias("read"))
+    out = wanted.select("tile_id").distinct().join(seen, "tile_id", "left").join(counts, "tile_id", "left")
+    error = F.when(F.col("read").isNull(), "no staged file").when(~F.col("read"), "not a readable street graph")
+    rows = out.select("tile_id", F.lit(version).cast("long").alias("version"), F.coalesce("n", F.lit(0)).alias("roads"), error.alias("error"), F.current_timestamp().cast("timestamp_ntz").alias("downloaded"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)  # one row a tile of this batch
+    edges.unpersist()
+    forget_edges()
+    return rows
 
 
 def _values(listed: Column) -> Column:
@@ -41,15 +97,29 @@ def _values(listed: Column) -> Column:
     return F.when(listed.isNull(), F.lit(None)).when(listed.startswith("["), many).otherwise(F.array(listed))
 
 
+def _graphml_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """tile_id (file name) and the parsed tree ``g`` of GraphML files, null where a file cannot be read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.graphml").load(path)
+    return graphml_trees(files.select("path", "content"))
+
+
+def graphml_trees(files: DataFrame) -> DataFrame:
+    """Rows (path, content) as tile_id and ``g``."""
+    xml = F.make_valid_utf8(F.col("content").cast("string"))
+    tree = F.when(xml.contains("<graphml"), F.from_xml(xml, F.lit(_GRAPHML), {"ignoreNamespace": "true"}))
+    return files.select(F.regexp_extract("path", r"([^/]+)\.graphml$", 1).alias("tile_id"), F.when(tree["graph"].isNotNull(), tree).alias("g"))
+
+
 def read_graphml(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Edges of GraphML street graphs: tile_id (file name), u, v, k, attributes, length_m and geometry (lon, lat).
+    """Edges of GraphML street graphs, see :func:`graphml_edges`."""
+    return graphml_edges(_graphml_files(spark, path))
+
+
+def graphml_edges(g: DataFrame) -> DataFrame:
+    """Edges of parsed street graphs: tile_id, u, v, k, attributes, length_m and geometry (lon, lat).
 
     Edges without a geometry run straight between their nodes.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.graphml").load(path)
-    xml = F.make_valid_utf8(F.col("content").cast("string"))
-    tree = F.from_xml(xml, F.lit(_GRAPHML), {"ignoreNamespace": "true"})
-    g = files.select(F.regexp_extract("path", r"([^/]+)\.graphml$", 1).alias("tile_id"), tree.alias("g"))
     names = F.map_from_arrays(F.transform("g.key", lambda k: k["_id"]), F.transform("g.key", lambda k: k["_attr.name"]))
     g = g.select("tile_id", "g", names.alias("names"))
 

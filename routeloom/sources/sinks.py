@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import logging
+import logging.handlers
 import sqlite3
 import struct
+import uuid
 import zipfile
 from collections.abc import Iterable
 from pathlib import Path
@@ -36,7 +39,27 @@ def _column(i: int) -> str:
     return name
 
 
-def _cell(ref: str, value) -> str:
+#: Cell styles by number: number formats by decimals, and fills of confidence levels and statuses.
+_DECIMALS = {1: 2, 2: 3, 3: 4}
+_FILLED = {"high": 5, "ok": 5, "medium": 6, "partial": 6, "low": 7, "error": 7, "unidentified": 8, "ERROR": 7, "ALERT": 6}
+_ONE_PLACE = {"distance_m", "dist_cum_m", "speed_kmh", "bearing"}
+_TWO_PLACES = {"mean_m", "max_m", "road_m"}
+_WIDE = {"notes", "message", "action", "road_name", "second_road", "map"}
+
+
+def _style(column: str, value) -> int:
+    if column in ("confidence", "status", "kind"):
+        return _FILLED.get(value, 0)
+    if isinstance(value, float):
+        return _DECIMALS[1 if column in _ONE_PLACE else 2 if column in _TWO_PLACES else 3] if column in _ONE_PLACE | _TWO_PLACES | {"margin"} else 0
+    return 0
+
+
+def _cell(ref: str, value, style: int = 0) -> str:
+    return _plain_cell(ref, value).replace("<c ", f'<c s="{style}" ', 1) if style else _plain_cell(ref, value)
+
+
+def _plain_cell(ref: str, value) -> str:
     if value is None:
         return ""
     if isinstance(value, bool) or not isinstance(value, (int, float)):
@@ -52,6 +75,21 @@ _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACK = "http://schemas.openxmlformats.org/package/2006"
 
 
+def _styles() -> str:
+    colors = ("FFD9E2EC", "FFD5F0DC", "FFFCE8C8", "FFF8D3CF", "FFE3E6E8")  # header, good, fair, bad, unknown
+    solid = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in colors)
+    formats = "".join(f'<numFmt numFmtId="{163 + d}" formatCode="0.{"0" * d}"/>' for d in (1, 2, 3))
+    cells = '<xf/><xf fontId="1" fillId="2" applyFont="1" applyFill="1"/>' + "".join(f'<xf numFmtId="{163 + d}" applyNumberFormat="1"/>' for d in (1, 2, 3))
+    cells += "".join(f'<xf fillId="{k}" applyFill="1"/>' for k in (3, 4, 5, 6))
+    return (
+        f'<numFmts count="3">{formats}</numFmts><fonts count="2"><font/><font><b/></font></fonts><fills count="7"><fill><patternFill patternType="none"/></fill>'
+        f'<fill><patternFill patternType="gray125"/></fill>{solid}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="9">{cells}</cellXfs>'
+    )
+
+
+_STYLES = _styles()
+
+
 def write_workbook(path: str | Path, sheets: dict[str, tuple[list[str], Iterable]]) -> Path:
     """An XLSX file: for each sheet a bold frozen header row with filter, then the rows."""
     path = unique_path(path)
@@ -63,15 +101,16 @@ def write_workbook(path: str | Path, sheets: dict[str, tuple[list[str], Iterable
         z.writestr("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>{names}</sheets></workbook>')
         rels = "".join(f'<Relationship Id="rId{i}" Type="{_REL}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
         z.writestr("xl/_rels/workbook.xml.rels", f'{_HEAD}<Relationships xmlns="{_PACK}/relationships">{rels}<Relationship Id="rId{len(sheets) + 1}" Type="{_REL}/styles" Target="styles.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", f'{_HEAD}<styleSheet xmlns="{_MAIN}"><fonts count="2"><font/><font><b/></font></fonts><fills count="2"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>')
+        z.writestr("xl/styles.xml", f'{_HEAD}<styleSheet xmlns="{_MAIN}">{_STYLES}</styleSheet>')
         for i, (header, rows) in enumerate(sheets.values(), 1):
+            widths = "".join(f'<col min="{c}" max="{c}" width="{42 if h in _WIDE else max(11, len(h) + 4)}" customWidth="1"/>' for c, h in enumerate(header, 1))
             with z.open(f"xl/worksheets/sheet{i}.xml", "w") as f:
-                f.write(f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews><sheetData>'.encode())
-                cells = "".join(_cell(f"{_column(c)}1", h).replace("<c ", '<c s="1" ', 1) for c, h in enumerate(header))
+                f.write(f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews><cols>{widths}</cols><sheetData>'.encode())
+                cells = "".join(_cell(f"{_column(c)}1", h, 1) for c, h in enumerate(header))
                 f.write(f'<row r="1">{cells}</row>'.encode())
                 n = 1
                 for n, row in enumerate(rows, 2):
-                    cells = "".join(_cell(f"{_column(c)}{n}", v) for c, v in enumerate(row))
+                    cells = "".join(_cell(f"{_column(c)}{n}", v, _style(header[c], v)) for c, v in enumerate(row))
                     f.write(f'<row r="{n}">{cells}</row>'.encode())
                 f.write(f'</sheetData><autoFilter ref="A1:{_column(len(header) - 1)}{n}"/></worksheet>'.encode())
     return path
@@ -84,31 +123,62 @@ def workbook(path: str | Path, tables: dict[str, DataFrame]) -> Path:
 
 COLORS = {"high": "#1e8449", "medium": "#d68910", "low": "#c0392b", "unidentified": "#7f8c8d", "": "#2471a3"}
 _PAGE = """<!doctype html><html><head><meta charset="utf-8"><title>%(title)s</title>
-<style>body{margin:0;font:14px sans-serif}#k{position:fixed;top:8px;right:8px;background:#fff;padding:8px;border:1px solid #999}svg{width:100vw;height:100vh;background:#f4f6f6}</style></head>
-<body><div id="k"><b>%(title)s</b><br></div><svg id="m"></svg><script>
-const layers=%(layers)s,colors=%(colors)s,svg=document.getElementById('m'),key=document.getElementById('k');
-const all=layers.flatMap(l=>l.coordinates),xs=all.map(p=>p[0]),ys=all.map(p=>p[1]);
-const x0=Math.min(...xs),x1=Math.max(...xs),y0=Math.min(...ys),y1=Math.max(...ys),c=Math.cos((y0+y1)/2*Math.PI/180);
-const w=Math.max((x1-x0)*c,1e-6),h=Math.max(y1-y0,1e-6),s=1000/Math.max(w,h);svg.setAttribute('viewBox',`-20 -20 ${w*s+40} ${h*s+40}`);
-const at=p=>[(p[0]-x0)*c*s,(y1-p[1])*s];const groups={};
-for(const l of layers){if(!groups[l.layer]){const g=document.createElementNS('http://www.w3.org/2000/svg','g');svg.append(g);groups[l.layer]=g;
-const b=document.createElement('label'),i=document.createElement('input');i.type='checkbox';i.checked=!['original','cleaned','simplified','problems'].includes(l.layer);g.style.display=i.checked?'':'none';
-i.onchange=()=>g.style.display=i.checked?'':'none';b.append(i,' '+l.layer);key.append(b,document.createElement('br'));}
-const e=document.createElementNS('http://www.w3.org/2000/svg',l.kind==='point'?'circle':'polyline');
-if(l.kind==='point'){const p=at(l.coordinates[0]);e.setAttribute('cx',p[0]);e.setAttribute('cy',p[1]);e.setAttribute('r',4);e.setAttribute('fill','#c0392b');}
-else{e.setAttribute('points',l.coordinates.map(at).map(p=>p.join(',')).join(' '));e.setAttribute('fill','none');e.setAttribute('stroke',colors[l.confidence]||'#2471a3');e.setAttribute('stroke-width',l.layer==='legs'?4:2);}
-const t=document.createElementNS('http://www.w3.org/2000/svg','title');t.textContent=l.name+' '+l.confidence;e.append(t);groups[l.layer].append(e);}
+<style>body{margin:0;font:14px sans-serif}#k{position:fixed;top:8px;right:8px;background:#fff;padding:8px;border:1px solid #999}#i{max-width:260px;margin-top:6px}svg{width:100vw;height:100vh;background:#f4f6f6}</style></head>
+<body><div id="k"><b>%(title)s</b><br><div id="i"></div></div><svg id="m"></svg><script>
+const layers=%(layers)s,colors=%(colors)s,centre=%(centre)s,base=%(base)s,ns='http://www.w3.org/2000/svg';
+const svg=document.getElementById('m'),key=document.getElementById('k'),info=document.getElementById('i'),make=n=>document.createElementNS(ns,n);
+const flat=p=>[(p[0]+180)/360,(1-Math.asinh(Math.tan(p[1]*Math.PI/180))/Math.PI)/2];
+const c=flat(centre),far=Math.max(1e-6,...layers.flatMap(l=>l.coordinates).map(flat).flatMap(p=>[Math.abs(p[0]-c[0]),Math.abs(p[1]-c[1])]));
+const s=500/far,at=p=>{const q=flat(p);return [(q[0]-c[0])*s,(q[1]-c[1])*s];};svg.setAttribute('viewBox','-520 -520 1040 1040');
+const groups={},group=(name,shown)=>{if(!groups[name]){const g=groups[name]=make('g');svg.append(g);const b=document.createElement('label'),i=document.createElement('input');i.type='checkbox';i.checked=shown;
+g.style.display=shown?'':'none';i.onchange=()=>g.style.display=i.checked?'':'none';b.append(i,' '+name);key.insertBefore(b,info);key.insertBefore(document.createElement('br'),info);}return groups[name];};
+if(base){const z=Math.max(0,Math.min(18,Math.floor(Math.log2(2/far)))),n=2**z,g=group('base map',true);
+for(let x=Math.floor((c[0]-far)*n);x<=(c[0]+far)*n;x++)for(let y=Math.floor((c[1]-far)*n);y<=(c[1]+far)*n;y++){const t=make('image');
+t.setAttribute('href',base.replace('{z}',z).replace('{x}',x).replace('{y}',y));t.setAttribute('x',(x/n-c[0])*s);t.setAttribute('y',(y/n-c[1])*s);t.setAttribute('width',s/n);t.setAttribute('height',s/n);t.setAttribute('opacity',0.6);g.append(t);}}
+const dot=(g,p,color,say)=>{const e=make('circle'),q=at(p);e.setAttribute('cx',q[0]);e.setAttribute('cy',q[1]);e.setAttribute('r',5);e.setAttribute('fill',color);tell(e,say);g.append(e);};
+const tell=(e,say)=>{const t=make('title');t.textContent=say;e.append(t);e.onclick=()=>info.textContent=say;};
+for(const l of layers){const g=group(l.layer,!['original','cleaned','simplified','problems'].includes(l.layer)),say=l.info||[l.name,l.confidence].join(' ');
+if(l.kind==='point'){dot(g,l.coordinates[0],'#c0392b',say);continue;}
+const e=make('polyline');e.setAttribute('points',l.coordinates.map(at).map(p=>p.join(',')).join(' '));e.setAttribute('fill','none');
+e.setAttribute('stroke',colors[l.confidence]||'#2471a3');e.setAttribute('stroke-width',l.layer==='legs'?4:2);tell(e,say);g.append(e);}
+const way=layers.find(l=>l.layer==='simplified')||layers.find(l=>l.kind==='line');
+if(way){const g=group('start and end',true);dot(g,way.coordinates[0],'#1e8449','start');dot(g,way.coordinates[way.coordinates.length-1],'#1c2833','end');}
 </script></body></html>"""
+#: Raster tiles behind the map; they show when the page is opened with a network.
+BASE_MAP = "https://tile.openstreetmap.org/{z}/{x}/{y}.png"
 
 
-def map_page(path: str | Path, title: str, layers: Iterable[dict]) -> Path:
-    """A self-contained page that draws one file's layers; legs are coloured by confidence."""
-    path = unique_path(path)
-    body = json.dumps([{**x, "coordinates": [[p["lon"], p["lat"]] for p in x["coordinates"]]} for x in layers]).replace("</", "<\\/")
-    path.write_text(_PAGE % {"title": escape(title), "layers": body, "colors": json.dumps(COLORS)}, encoding="utf-8")
+def map_page(path: str | Path, title: str, layers: Iterable[dict], centre: tuple[float, float] | None = None, base: str | None = BASE_MAP) -> Path:
+    """A page that draws one file's layers around ``centre`` (lon, lat; else the middle of all); legs are coloured by confidence and tell
+    their figures."""
+    rows = [{**x, "coordinates": [[p["lon"], p["lat"]] for p in x["coordinates"]]} for x in layers]
+    if centre is None:
+        every = [p for x in rows for p in x["coordinates"]] or [[0.0, 0.0]]
+        centre = tuple((min(p[i] for p in every) + max(p[i] for p in every)) / 2 for i in (0, 1))
+    safe = lambda x: json.dumps(x).replace("</", "<\\/")
+    page = _PAGE % {"title": escape(title), "layers": safe(rows), "colors": json.dumps(COLORS), "centre": json.dumps(list(centre)), "base": safe(base)}
+    return replace_file(path, page.encode())
+
+
+def replace_file(path: str | Path, content: bytes) -> Path:
+    """Write a file as a whole: a reader sees the old one or the new one, and writing twice is as good as once."""
+    path = Path(path)
+    part = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
+    part.write_bytes(content)
+    part.replace(path)
     return path
 
 
+def log_to(path: str | Path) -> logging.Handler:
+    """Log this package to a file of at most 2 MB, with five older ones kept."""
+    handler = logging.handlers.RotatingFileHandler(path, maxBytes=2 << 20, backupCount=5, encoding="utf-8")
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    log = logging.getLogger("routeloom")
+    log.setLevel(logging.INFO)
+    log.addHandler(handler)
+    return handler
+
+
 def _geometry(kind: str, points: list[tuple[float, float]]) -> bytes:
     """GeoPackage binary: header without envelope, then WKB in little-endian."""
     head = b"GP\x00\x01" + struct.pack("<i", 4326)
@@ -124,8 +194,9 @@ def geopackage(path: str | Path, layers: Iterable[dict]) -> Path:
         rows.setdefault(x["layer"], []).append(x)
     if not rows:
         raise ValueError("nothing to write")
-    path = unique_path(path)
-    con = sqlite3.connect(path)
+    path = Path(path)
+    part = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
+    con = sqlite3.connect(part)
     con.execute("PRAGMA application_id = 1196444487")
     con.execute("PRAGMA user_version = 10300")
     con.execute("CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT, srs_id INTEGER PRIMARY KEY, organization TEXT, organization_coordsys_id INTEGER, definition TEXT, description TEXT)")
@@ -145,4 +216,5 @@ def geopackage(path: str | Path, layers: Iterable[dict]) -> Path:
         )
     con.commit()
     con.close()
+    part.replace(path)
     return path

@@ -51,7 +51,3 @@ def test_query(spark, con, name):
     columns = [d[0] for d in rel.description]
     assert sorted(columns) == sorted(df.columns)
     assert got == _rows(columns, rel.fetchall())
-
-
-def test_rows_only(spark):
-    assert queries.queries()["route_json"](spark, str(DATA)).count() == 15
