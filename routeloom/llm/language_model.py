@@ -299,7 +299,7 @@ def score_texts(docs: DataFrame, *, divisor: int = 10, held_out: int = 0, id_col
     crc = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0))
     tenth = F.pmod(F.xxhash64(id_col, F.lit("weights")), F.lit(10)) == 0
     kind = F.when(crc % divisor == held_out, REST).when(tenth, HELD).otherwise(KEPT)
-    table = B.make_blocks(docs, "texts", id_col, text_col, kind=kind, times=4)  # the larger a block, the fewer of its keys others send too
+    table = B.make_blocks(docs, "texts", id_col, text_col, kind=kind, times=2)  # the larger a block, the fewer of its keys others send too
     texts = {r["kind"]: r["n"] for r in table.groupBy("kind").agg(F.sum("n_docs").alias("n")).collect()}
     kept_texts = texts.get(KEPT, 0)
     all_texts = kept_texts + texts.get(HELD, 0)

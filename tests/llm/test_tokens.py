@@ -97,6 +97,15 @@ def test_pieces_as_the_library(spark, library):
         assert sorted(set(own[i])) == want, i
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=80) | st.text(alphabet="ab -'\n\t1é漢🙂<|endoftext|>", max_size=60))
+def test_packed_ids_as_the_library(text):
+    from tokenizers import Tokenizer
+
+    lib = test_packed_ids_as_the_library.__dict__.setdefault("lib", Tokenizer.from_file(VOCAB))
+    assert packing.encoder(VOCAB)(text).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_search_beats_best_fit():
     """Fewer bins than largest-first best fit wherever that is above the bound, and none below the bound."""
     rng = np.random.default_rng(0)
