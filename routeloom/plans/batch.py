@@ -93,7 +93,6 @@ def prepare_tiles(
     Tiles to download are taken from ``staged`` street graphs; the outcome goes to the catalogue, errors to its log.  Roads are
     used by the state of their tile alone, so an expired tile still serves offline.
     """
-    needed = needed.select("tile_id").distinct().persist()
     now = F.current_timestamp().cast("timestamp_ntz")
     decided = tiles.decide(needed, store.tile_rows(), now, settings, roads.stored_tiles(spark, folder)).persist()
     outcome = {r["outcome"]: r["n"] for r in decided.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -109,7 +108,12 @@ def prepare_tiles(
     if outcome.get("missing"):
         alerts.append(_alert("tiles", "ALERT", f"{outcome['missing']} tile(s) missing or expired offline", "run online"))
     usable = needed.join(tiles.latest(store.tile_rows()).where("state = 'ok'").select("tile_id"), "tile_id", "left_semi")
-    return usable, outcome, alerts
+    return _few(usable), outcome, alerts
+
+
+def _few(tile_ids: DataFrame) -> DataFrame:
+    """The tile ids of a batch, one short row each, as a frame of their own: later plans do not carry how they were found."""
+    return tile_ids.sparkSession.createDataFrame(sorted(tuple(r) for r in tile_ids.select("tile_id").distinct().collect()), "tile_id string")
 
 
 def _alert(stage: str, kind: str, message: str, action: str, file_id: str | None = None) -> dict:
@@ -192,8 +196,8 @@ def _run(
     a = Analysis(gpx.points(files.where("error is null")), None, settings)
     store = history.Catalog(spark, catalog) if catalog else None
     if isinstance(edges, str):
-        needed = tiles.tiles_of_tracks(a.simplified, settings)
         try:
+            needed = _few(tiles.tiles_of_tracks(a.simplified, settings))
             if store is not None:
                 needed, result.tiles, found = prepare_tiles(spark, needed, edges, store, settings, staged)
                 result.alerts += found

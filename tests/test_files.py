@@ -158,11 +158,13 @@ def test_tiles_of_a_batch(spark, drives, tmp_path):
     rows = {r["tile_id"]: r for r in Catalog(spark, cat).tiles().collect()}
     assert len(rows) == n and rows[here]["state"] == "ok" and rows[here]["roads"] == 3 and sum(r["state"] == "error" for r in rows.values()) == n - 1
     assert Catalog(spark, cat).errors().count() == n - 1 == sum("no staged file" in x["message"] for x in first.alerts)
-    second = batch.run(spark, one, folder, out, config.put(quiet, "offline", True), cat)
-    assert second.tiles.get("reused") == 1 and second.tiles.get("missing", 0) == n - 1 and second.files[0]["status"] == "ok"
+    store, needed = Catalog(spark, cat), spark.createDataFrame([(t,) for t in rows], "tile_id string")
+    usable, outcome, alerts = batch.prepare_tiles(spark, needed, folder, store, config.Settings(offline=True), None)
+    assert outcome.get("reused") == 1 and outcome.get("missing", 0) == n - 1 and [r["tile_id"] for r in usable.collect()] == [here]
+    assert [x["kind"] for x in alerts] == ["ALERT"] * (n > 1)
     (staged / f"{here}.graphml").write_text("<graphml torn")
-    third = batch.run(spark, one, folder, out, config.put(quiet, "refresh_cache", True), cat, staged=str(staged))
-    assert third.tiles == {"download": n} and any("not a readable street graph" in x["message"] for x in third.alerts) and third.files[0]["status"] == "partial"
+    usable, outcome, alerts = batch.prepare_tiles(spark, needed, folder, store, config.Settings(refresh_cache=True), str(staged))
+    assert outcome == {"download": n} and any("not a readable street graph" in x["message"] for x in alerts) and usable.count() == 0
 
 
 def test_road_files(spark, tmp_path):
