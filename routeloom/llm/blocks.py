@@ -137,7 +137,7 @@ def make_blocks(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), extra.alias("extra"), kind.cast("int").alias("kind"))
     n = store.shuffle_partitions(docs.sparkSession)
     size = min(times * block_bytes(docs.select(F.col(text_col))), BLOCK_BYTES * BLOCK_MOST)
-    return store.materialize_bucketed(rows.mapInArrow(_to_blocks(size), BLOCK_SCHEMA), name, n, "block")
+    return store.materialize_bucketed(rows.mapInArrow(K.lean(_to_blocks(size)), BLOCK_SCHEMA), name, n, "block")
 
 
 def ranges(blocks: DataFrame, bytes_each: int = 16 << 20) -> int:
@@ -184,6 +184,7 @@ def back_to_blocks(
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = list(by_block(right))
         out = [b for row in by_block(left) for b in apply(Block(row), rows)]
+        K.give_back()
         return pa.Table.from_batches(out) if out else shape.empty_table()
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -46,6 +46,8 @@ _ODD = (_RNG.integers(0, 1 << 32, 1024, dtype=np.uint64) | 1).astype(np.uint32)
 _SALTS = 256
 #: Up to so many candidate nodes are sent to all executors to pick their texts (8 bytes each); beyond that the texts are joined.
 _BROADCAST_NODES = 500_000
+#: Up to so many links (16 bytes each) are made components in one task; beyond that in rounds over all of them.
+_FEW_LINKS = 500_000
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,11 +114,14 @@ def least_matches(batch: int, batches: int, threshold: float, miss: float) -> li
 
 def features(docs: DataFrame, k: int, bands: int, rows: int, id_col: str, text_col: str, carry: bool) -> DataFrame:
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    base = docs.select(F.monotonically_increasing_id().alias("tag"), F.col(id_col).alias("doc_id"), *row, F.col(text_col).alias("__text"))
+    inside = docs.columns.index(text_col) if carry and text_col in docs.columns else None  # a row that has the text goes once
+    text = [F.col(text_col).alias("__text")] if inside is None else []
+    base = docs.select(F.monotonically_increasing_id().alias("tag"), F.col(id_col).alias("doc_id"), *row, *text)
+    own = [c for c in base.columns if c != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__text"))
+            texts = batch.column(batch.num_columns - 1) if inside is None else batch.column(batch.num_columns - 1).field(inside)
             for lo, hi, data, offs in K.slabs(texts, 1 << 18):
                 n = hi - lo
                 doc, h = shingles(data, offs, k)
@@ -137,15 +142,15 @@ def features(docs: DataFrame, k: int, bands: int, rows: int, id_col: str, text_c
                         keys[:, b] = key
                 some = np.where(count > 0, bands, 0)
                 key_offs = np.concatenate(([0], np.cumsum(some))).astype(np.int32)
-                columns = [batch.column(i).slice(lo, n) for i in range(batch.num_columns - 1)]
+                columns = [batch.column(i).slice(lo, n) for i in range(len(own))]
                 columns += [pa.array(count.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64))]
                 columns.append(pa.ListArray.from_arrays(pa.array(key_offs), pa.array(keys[full].view(np.int64).ravel())))
                 brief = sig.astype(np.uint16)
                 columns.append(pa.array([brief[i].tobytes() if c else b"" for i, c in enumerate(count)], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "n", "fp1", "fp2", "keys", "sig"])
+                yield pa.RecordBatch.from_arrays(columns, [*own, "n", "fp1", "fp2", "keys", "sig"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
-    return base.mapInArrow(run, f"{kept}, n long, fp1 long, fp2 long, keys array<long>, sig binary")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[: len(own)])
+    return base.mapInArrow(K.lean(run), f"{kept}, n long, fp1 long, fp2 long, keys array<long>, sig binary")
 
 
 _BIG = K.U(0x9E3779B97F4A7C15)
@@ -179,7 +184,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, bands: int, rows: int, threshold
     right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
     joined = attach(pairs.join(left, "a"), right, "b", "a")
     sized = joined.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(K.lean(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -203,7 +208,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int, id_col:
                     ["n", "fp1", "fp2", "members"],
                 )
 
-    found = texts.select("text").mapInArrow(run, "n long, fp1 long, fp2 long, members binary")
+    found = texts.select("text").mapInArrow(K.lean(run), "n long, fp1 long, fp2 long, members binary")
     return found.join(need, ["n", "fp1", "fp2"]).select("node", "members").dropDuplicates(["node"])
 
 
@@ -223,16 +228,42 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
 
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("set_b"))
-    return attach(pairs.join(left, "a"), right, "b", "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return attach(pairs.join(left, "a"), right, "b", "a").select("a", "b", "set_a", "set_b").mapInArrow(K.lean(run), "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def unite(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links (u[i], v[i]), ascending, and the least node that each one's links reach."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    name = np.arange(len(nodes))
+    while len(a):
+        least = np.minimum(name[a], name[b])
+        for x in (name[a], name[b]):
+            np.minimum.at(name, x, least)
+        while (name != name[name]).any():
+            name = name[name]
+        apart = name[a] != name[b]
+        a, b = a[apart], b[apart]
+    return nodes, nodes[name]
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pairs = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if pairs:
+        u, v = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in unite(u, v)], ["node", "component"])
+
+
+def components(links: DataFrame, few: int = _FEW_LINKS) -> DataFrame:
     """(node, component) of the nodes of ``links`` (a, b); a component is named after one of its nodes, the least of most.
 
-    Every round gives a node the least name among its neighbours, and that name's own, and then contracts the links to
+    Up to ``few`` links are united in one task, since a round over a small table costs as many tasks as one over a large one.
+    Beyond that, every round gives a node the least name among its neighbours, and that name's own, and then contracts the links to
     names, so later rounds see few of them; the rounds follow the logarithm of the longest path.
     """
     edges = store.materialize(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u != v").distinct(), "links")
+    if edges.count() <= few:
+        return store.materialize(edges.coalesce(1).mapInArrow(K.lean(_united), "node long, component long"), "labels")
     labels = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -395,17 +426,21 @@ def _rows_and_groups(
     slots = sketch.select(F.explode("keys").alias("key"), "node")
     member = _members(slots)
     facts = sketch.drop("keys")
+    store.tidy(docs.sparkSession)
     tested = store.materialize(_first_pairs(member), "pairs")
     likely = store.materialize(_likely(tested, facts, bands, rows, threshold, miss), "likely")
     wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
     sets = store.materialize(_sets(docs, nodes, wanted, shingle, id_col, text_col), "full")
     links = store.materialize(_confirmed(likely, sets, threshold), "confirmed")
+    store.tidy(docs.sparkSession)
     names = components(links)
+    store.tidy(docs.sparkSession)
     mixed = store.materialize(_mixed(member, names), "mixed")
     if not mixed.isEmpty():
         sets = store.materialize(_sets(docs, nodes, mixed.select("node").distinct(), shingle, id_col, text_col), "full")
         links = links.union(store.materialize(_rest(mixed, facts, sets, bands, rows, threshold, miss), "rest"))
         names = components(links)
+        store.tidy(docs.sparkSession)
     of = nodes.join(names, "node", "left").select("node", "fp1", "fp2", "n", "first", "salts", F.coalesce("component", "node").alias("component"))
     best = of.groupBy("component").agg(F.min("first").alias("best"))
     of = attach(of, best, "component")

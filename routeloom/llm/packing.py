@@ -16,6 +16,7 @@ an empty table gives an empty result; a text of any length is encoded whole, als
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,9 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routeloom.llm import kernels as K
 from routeloom.llm import store
-from routeloom.llm.bpe import SPLIT, codec
+from routeloom.llm.bpe import SPLIT, BytePairCodec, codec
 
 _ENCODERS: dict[str, object] = {}
 #: The fast library's pattern matcher gives up on runs of blanks of about a million; texts with a run this long go through our own codec.
@@ -40,21 +42,23 @@ def encoder(path: str):
     package's codec (the tests hold both against the tokenizers library); any other file or text goes through the codec.
     """
     if path not in _ENCODERS:
-        own = codec(path)
+        own = BytePairCodec(path)  # far larger than the fast one: it goes when that is made, and comes back for the texts that need it
         ranks = {t: i for i, t in enumerate(own.token_bytes) if t and i not in set(own.added.values())}
         merged = [r for _, r in sorted((i, own.halves[i][2]) for i in own.halves)]
         if merged == sorted(merged) and all(len(t) > 1 or i < 256 for t, i in ranks.items()):
             fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=own.added)
             special = set(own.added)
+            del own
+            gc.collect()  # it refers to itself
 
             def encode(text: str) -> np.ndarray:
                 if len(text) >= 10000 and _BLANKS.search(text):
-                    return own.encode(text).astype(np.uint32)
+                    return codec(path).encode(text).astype(np.uint32)
                 return fast.encode_to_numpy(text, allowed_special=special)
 
             _ENCODERS[path] = encode
         else:
-            _ENCODERS[path] = lambda text: own.encode(text).astype(np.uint32)
+            _ENCODERS[path] = lambda text: codec(path).encode(text).astype(np.uint32)
     return _ENCODERS[path]
 
 
@@ -87,7 +91,7 @@ def cut_pieces(
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(K.lean(run), f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 class Packer:
@@ -306,13 +310,13 @@ def _pack_shards(items: DataFrame, n_shards: int, capacity: int, islands: int, e
         return run
 
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("tag"), F.lit(n_shards)).cast("int"))
-    pop = dealt.groupBy("shard").applyInArrow(gather, schema).mapInArrow(epoch(0), schema)
+    pop = dealt.groupBy("shard").applyInArrow(gather, schema).mapInArrow(K.lean(epoch(0)), schema)
     for e in range(1, epochs):
         pop = store.materialize(pop, "islands")
         elite = pop.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.slice("packings", 1, 1).alias("elite"))
         pop = pop.join(elite, ["shard", "island"]).select(
             "shard", "island", "tags", "sizes", F.concat("packings", "elite").alias("packings")
-        ).mapInArrow(epoch(e), schema)
+        ).mapInArrow(K.lean(epoch(e)), schema)
 
     def choose(table: pa.Table) -> pa.Table:
         rows = table.sort_by("island").to_pylist()

@@ -370,7 +370,7 @@ def remove_repeats(
         raise ValueError("window is 33 to 64 bytes")
     table = B.make_blocks(docs, "texts", id_col, text_col, extra)
     n = B.ranges(table, 8 << 20)
-    sent = table.mapInArrow(_send_anchors(n, window), "part int, block long, keys binary, several binary")
+    sent = table.mapInArrow(K.lean(_send_anchors(n, window)), "part int, block long, keys binary, several binary")
     shared = store.materialize(sent.groupBy("part").applyInArrow(_shared, "block long, part int, bits binary"), "shared")
     del sent
     store.tidy(docs.sparkSession)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
 import re
 
+import numpy as np
+import psutil
 import pytest
 from pyspark.sql import functions as F
 
-from routeloom.llm import blocks, exact_dedup, near_dedup, store, suffix_dedup
+from routeloom.llm import blocks, exact_dedup, kernels, language_id, near_dedup, store, suffix_dedup
 
 WORDS = [f"w{i}" for i in range(60)]
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -230,6 +233,48 @@ def test_components(spark):
     assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_links_are_united_without_rounds(spark):
+    """One task for a small table, whatever the number of shuffle partitions; the same components as by rounds."""
+    rnd = random.Random(8)
+    links = [(rnd.randint(0, 40), rnd.randint(0, 40)) for _ in range(25)] + [(1000 + i, 1001 + i) for i in range(6)] + [(-5, -9), (7, 7)]
+    table = spark.createDataFrame(links, "a long, b long").coalesce(1)
+    by_rounds = {(r["node"], r["component"]) for r in near_dedup.components(table, few=0).collect()}
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        united = near_dedup.components(table)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few links")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 6
+    assert {(r["node"], r["component"]) for r in united.collect()} == by_rounds
+    assert (-5, -9) in by_rounds and (1006, 1000) in by_rounds
+
+
+def test_rows_cross_to_python_with_their_text_once(spark):
+    docs = frame(spark, corpus(3, 40))
+    fitted = language_id.fit(docs.withColumn("lang", F.lit("xx")), F.lit(True))
+    for out in (language_id.identify(docs, fitted, carry=True), near_dedup.features(docs, 5, 36, 5, "doc_id", "text", True)):
+        assert "__text" not in out._jdf.queryExecution().analyzed().toString()
+    got = {(r["doc_id"], r["row"]["text"]): r["lang_pred"] for r in language_id.identify(docs, fitted, carry=True).collect()}
+    assert got == {(r["doc_id"], r["text"]): r["lang_pred"] for r in language_id.identify(docs, fitted).join(docs.select(F.col("doc_id").alias("of"), "text"), F.col("doc_id") == F.col("of")).collect()}
+
+
+def test_a_task_gives_back_its_memory():
+    """What a stage needed in a worker is free for the next one, though something small above it is still in use."""
+    own, kept = psutil.Process(), []
+
+    def run(batches):
+        held = [np.ones(50_000, np.uint8) for _ in range(4_000)]
+        kept.append(np.ones(50_000, np.uint8))
+        yield own.memory_info().rss
+        del held
+
+    gc.collect()
+    before = own.memory_info().rss
+    (most,) = kernels.lean(run)(iter(()))
+    assert most - before > 100e6 and own.memory_info().rss - before < 0.2 * (most - before)
+
+
 def test_native_column_types(spark):
     out = exact_dedup.exact_dedup(frame(spark, corpus()))
     assert dict(out.dtypes)["group_size"] == "bigint" and out.select(F.max("group_size")).first()[0] >= 1
